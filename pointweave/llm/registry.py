@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, storage, token_counts, token_files
+from . import html_text, impact_search, mixing, packing, quality, sharding, simhash, storage, token_counts, token_files, transport_stream
 
 END_ID = 2
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("row.doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_files.write_token_files(docs, storage.new_path(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
@@ -24,18 +29,71 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = transport_stream.load(transport_stream.store(table(spark, sf_dir, "documents")))
+    first, last = F.get("points", F.lit(0)), F.element_at("points", -1)
+    shown = F.format_string("points=%d pts=%d..%d packet=%d..%d continuity_errors=%d", F.size("points"), first["pts"], last["pts"], first["packet"], last["packet"], "continuity_errors")
+    return held.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        shown.alias("feature"),
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = quality.importance_sample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return drawn.select("row.doc_id", "log_weight", "gumbel_key", "selected")
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return named.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+OPERATORS = (op1_mixing, op2_token_files, op3_transport_stream, op4_packing, op5_quality, op6_html_text, op7_impact_search, op8_simhash, op9_sharding, op10_token_counts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_packing, op10_token_counts)}
+    return {f.__name__: f for f in OPERATORS}
+
+
+SEARCH_SQL = """
+WITH finite AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM finite a JOIN finite b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_impact_search": SEARCH_SQL, "op9_sharding": sharding.oracle("doc_id", "documents")}
