@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,9 +102,9 @@ def evidence(coverage: Column, depth: Column, front: Column) -> Column:
     return F.greatest(F.lit(0.35), F.least(coverage, F.lit(1.0))) * (1 - 0.75 * F.greatest(F.lit(0.0), F.least(gap, F.lit(1.0))))
 
 
-def composite(samples: DataFrame, *pixel: str, order: str, alpha: str, values: Mapping[str, str]) -> DataFrame:
+def composite(samples: DataFrame, *pixel: str, order: Sequence[str], alpha: str, values: Mapping[str, str]) -> DataFrame:
     """Front-to-back blending: the sum of alpha * value * the light that nearer samples let through."""
-    nearer = Window.partitionBy(*pixel).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    nearer = Window.partitionBy(*pixel).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     passed = F.exp(F.coalesce(F.sum(F.log(1 - F.col(alpha) + 1e-8)).over(nearer), F.lit(0.0)))
     lit = samples.withColumn("__w", F.col(alpha) * passed)
     sums = [F.sum(F.col("__w") * F.col(v)).alias(name) for name, v in values.items()]
