@@ -109,7 +109,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, dim: int = 64, id_co
     Vectors that are null, hold null or non-finite components or have another
     size than ``dim``, and rows with a null id, take no part.  Rows that share an
     id count as one row; of unlike vectors of one id the least stays.  A query
-    with fewer other rows gets them all.
+    with fewer other rows gets them all.  Scores must fit a long; one that does
+    not is an error, never a wrapped number.
 
     Vectors and queries are dealt into blocks by hashes of their ids; every pair
     of blocks is one task's bounded work and returns k rows a query at most.

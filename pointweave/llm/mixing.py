@@ -10,8 +10,7 @@ depends on.
 
 Rates become copies by rounding running sums of rates in descending order of
 size, so a source's words miss its target by half its largest document at most;
-correction rounds then move copies of ever smaller documents until the rest is
-below the smallest that can still move.
+correction rounds then move copies of the one size that lessens the miss most.
 
 Skew: every step but the first works on counts.  Rows meet their count by
 (source, size, salt), with enough salts that no key holds many rows.
@@ -127,12 +126,17 @@ def _rounded(rated: DataFrame, most: int) -> DataFrame:
 
 
 def _corrected(cells: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
-    """Move copies of the largest documents that the remaining difference of each source still holds."""
+    """Move copies of one size in each source: those that leave the least of the difference between taken and target.
+
+    Only a size below twice the difference lessens it; the move may go past the target.
+    """
     taken = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
     gap = taken.join(wanted, taken["source"].eqNullSafe(wanted["source"])).select(taken["source"].alias("s"), F.round(F.col("target") - F.col("taken")).cast("long").alias("gap"))
     room = F.when(F.col("gap") > 0, most * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
-    near = cells.join(gap, F.col("source").eqNullSafe(F.col("s"))).where((F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & (room > 0))
-    best = near.groupBy("source").agg(F.max(F.struct("size", F.least(room, F.floor(F.abs("gap") / F.col("size"))).alias("move"), "gap")).alias("m"))
+    near = cells.join(gap, F.col("source").eqNullSafe(F.col("s"))).where((F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")) & (room > 0))
+    near = near.withColumn("move", F.least(room, F.greatest(F.lit(1), F.round(F.abs("gap") / F.col("size")).cast("long"))))
+    left = F.abs(F.abs("gap") - F.col("move") * F.col("size"))
+    best = near.groupBy("source").agg(F.min(F.struct(left.alias("left"), "size", "move", "gap")).alias("m"))
     moves = best.select(F.col("source").alias("s"), F.col("m.size").alias("z"), (F.signum("m.gap") * F.col("m.move")).cast("long").alias("move"))
     moved = cells.join(moves, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
     return moved.select("source", "size", "n", "rate", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies"))
