@@ -16,7 +16,7 @@ INNER = 2
 
 def psnr(mse: Column) -> Column:
     """Peak signal-to-noise ratio in dB of a mean squared error of unit-range values; null for no pixels."""
-    return -10 * F.log10(F.greatest(mse, F.lit(LEAST_ERROR)))
+    return F.when(mse.isNotNull(), -10 * F.log10(F.greatest(mse, F.lit(LEAST_ERROR))))
 
 
 def psnr_by(pixels: DataFrame, *by: str, truth: str = "truth", image: str = "image") -> DataFrame:

@@ -141,7 +141,7 @@ f AS (SELECT *, p IS NULL OR iteration < p OR ts - a > 45 AS fresh FROM l),
 r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY job_id ORDER BY ts, iteration) AS run, CASE WHEN NOT fresh AND ts > a THEN (iteration - p) / (ts - a) END AS observed FROM f),
 m AS (SELECT *, count(observed) OVER k AS n, min(observed) OVER k AS lo, max(observed) OVER k AS hi, median(observed) OVER k AS med, min(ts) OVER (PARTITION BY job_id, run) AS first FROM r WINDOW k AS (PARTITION BY job_id, run ORDER BY ts, iteration ROWS 4 PRECEDING)),
 t AS (SELECT *, coalesce(ts - first >= 2 AND n >= 3 AND lo > 0 AND hi <= 1.5 * lo, false) AS stable FROM m)
-SELECT job_id, iteration, round(at, 4) AS ts, run::BIGINT AS run, stable, CASE WHEN stable THEN round(med, 5) END AS rate, CASE WHEN stable THEN round((total - iteration) / med, 3) END AS eta FROM t"""
+SELECT job_id, iteration, round(ts, 4) AS "at", run::BIGINT AS run, stable, CASE WHEN stable THEN round(med, 5) END AS rate, CASE WHEN stable THEN round((total - iteration) / med, 3) END AS eta FROM t"""
 
 
 @query(TRACKED)
@@ -155,10 +155,10 @@ def eta_tracker(spark, sf):
     return found.select("job_id", "iteration", F.round("at", 4).alias("at"), "run", "stable", F.round("rate", 5).alias("rate"), F.round("eta", 3).alias("eta"))
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING) * (event_id % 100), 2) AS eta FROM events")
+@query("SELECT event_id, round(avg(floor(value)) OVER (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING) * (event_id % 100), 3) AS eta FROM events")
 def recent_step_eta(spark, sf):
-    e = table(spark, sf, "events").withColumn("left", F.col("event_id") % 100)
-    return progress.recent_step_eta(e, "user_id", "event_id", "value", "left").select("event_id", F.round("eta", 2).alias("eta"))
+    e = table(spark, sf, "events").withColumns({"left": F.col("event_id") % 100, "seconds": F.floor("value")})
+    return progress.recent_step_eta(e, "user_id", "event_id", "seconds", "left").select("event_id", F.round("eta", 3).alias("eta"))
 
 
 @query("SELECT event_id, CASE WHEN 5000 - event_id < 0 OR 5000 - event_id > 45 THEN 'stale' ELSE 'training' END AS phase, CASE WHEN 5000 - event_id BETWEEN 0 AND 45 THEN value END AS eta FROM events")
