@@ -20,8 +20,9 @@ def sigmoid(x: Column) -> Column:
 
 
 def logit(p: Column, eps: float = LEAST_OPACITY) -> Column:
+    """The inverse of ``sigmoid``, bounded; NaN stays NaN."""
     q = F.greatest(F.lit(eps), F.least(p, F.lit(1 - eps)))
-    return F.log(q / (1 - q))
+    return F.when(F.isnan(p), p).otherwise(F.log(q / (1 - q)))
 
 
 def base_color(dc: Column) -> Column:
