@@ -90,7 +90,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     tops = member.groupBy("root").agg(F.min("least").alias("top"))
     linked = member.join(tops, "root").select("fp", "top")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id"))
+    # Written, so that both sides of the last join are plain exchanges: a fingerprint of very many copies is then split.
+    named = storage.materialise(distinct.join(linked, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id")), "component-names")
     return rows.join(named, "fp").select("id", "fp", "component_id")
 
 
