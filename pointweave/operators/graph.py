@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ def _settled(df: DataFrame) -> DataFrame:
         return df.checkpoint()
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        import tempfile
-
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="pointweave-")
     context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -19,8 +19,8 @@ def to_camera(points: DataFrame, cameras: DataFrame, most_cameras: int = 100_000
     """Every point in every camera's frame: cx, cy, cz and the camera's columns.
 
     Cameras have frame, fx, fy, cx0, cy0, width, height and r00..r22, t0..t2.
-    Every pair is asked for; the cameras are broadcast behind a check of their
-    number, and beyond it the points are joined camera block by camera block.
+    Every pair is the result asked for.  The cameras are broadcast behind a check
+    of their number; beyond it neither side is.
     """
     held = cameras.limit(most_cameras + 1).count()
     pairs = points.crossJoin(F.broadcast(cameras) if held <= most_cameras else cameras)
