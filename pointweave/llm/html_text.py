@@ -30,7 +30,12 @@ BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id and role that mark boilerplate.
+#: Elements that no class, id or role makes boilerplate.
+CONTENT = MAIN | {"html", "body"}
+#: Elements whose end tag may be left out: the openings that end them, and the containers that keep them from ending.
+LISTS, TABLES = frozenset("ul ol menu".split()), frozenset(["table"])
+IMPLIED = {"li": ({"li"}, LISTS), "td": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, TABLES), "th": ({"td", "th", "tr", "tbody", "thead", "tfoot"}, TABLES), "tr": ({"tr", "tbody", "thead", "tfoot"}, TABLES), "dt": ({"dt", "dd"}, frozenset(["dl"])), "dd": ({"dt", "dd"}, frozenset(["dl"])), "option": ({"option"}, frozenset(["datalist"]))}
+#: Whole class names, ids and roles that mark boilerplate.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion related replies respond share sharing sidebar social sponsor sponsored subscribe widget contentinfo complementary search".split()
 )
@@ -38,6 +43,11 @@ MARKS = frozenset(
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "select", "math", "object", "canvas", "audio", "video", "button")}
+#: Elements whose content is no markup; only these hide all that follows if never closed.
+RAW = frozenset("script style textarea title".split())
+#: An end tag beyond one of these belongs to another element.
+BOUNDED = frozenset("button select object".split())
+BOUND = re.compile(r"<(?:article|main|section|body|h[1-6]|button|select|object)\b|</(?:article|main|section|body|div|p|li|td|form)\b", re.I)
 
 
 @dataclass
@@ -51,11 +61,7 @@ class Line:
 
 
 def _marked(attributes: str) -> bool:
-    for m in MARKED.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        if any(word in MARKS for word in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", value.strip()) for word in (word.lower(),)):
-            return True
-    return False
+    return any(word.lower() in MARKS for m in MARKED.finditer(attributes) for word in (m[1] or m[2] or m[3] or "").split())
 
 
 def _collapse(text: str) -> str:
@@ -96,13 +102,19 @@ def lines(page: str) -> list[Line]:
             continue
         closing, name, attributes = bool(m[1]), m[2].lower(), m[3]
         if name in RAW_END and not closing:
+            if name in ("svg", "math") and attributes.endswith("/"):
+                continue
             finish = RAW_END[name].search(page, at)
-            at = finish.end() if finish else len(page)
+            if finish and name in BOUNDED:
+                stop = BOUND.search(page, at, finish.start())
+                finish = None if stop else finish
+            # Without its end tag, a raw element hides the rest of the page and any other element nothing but its tag.
+            at = finish.end() if finish else len(page) if name in RAW else at
             continue
         if name == "a":
             link_depth = max(0, link_depth + (-1 if closing else 1))
             continue
-        marked = not closing and _marked(attributes)
+        marked = not closing and name not in CONTENT and _marked(attributes)
         if name not in BLOCK and name not in HIDDEN and not marked:
             if closing and any(x[0] == name for x in stack) and stack[-1][0] == name:
                 end_line()
@@ -115,7 +127,16 @@ def lines(page: str) -> list[Line]:
                 del stack[open_at:]
             if name in BOILERPLATE or name in MAIN:
                 link_depth = 0
-        elif name not in VOID and not attributes.rstrip().endswith("/") and name != "p" or name == "p" and marked:
+            continue
+        if name in BLOCK and name != "br" and stack and stack[-1][0] == "p":
+            stack.pop()
+        for i in range(len(stack) - 1, -1, -1):
+            enders, scopes = IMPLIED.get(stack[i][0], ((), ()))
+            if name in enders:
+                del stack[i:]
+            elif any(name in IMPLIED[x][0] and stack[i][0] in IMPLIED[x][1] for x in IMPLIED):
+                break
+        if name not in VOID and not attributes.rstrip().endswith("/") and name != "p" or name == "p" and marked:
             top = stack[-1] if stack else ("", False, False)
             stack.append((name, top[1] or marked or name in BOILERPLATE or name in HIDDEN, top[2] or name in MAIN))
     if at < len(page):
