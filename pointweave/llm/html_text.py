@@ -2,9 +2,9 @@
 
 Markup is stripped to one line a block element.  Lines inside boilerplate
 containers, and lines of nearly nothing but links, count no characters.  The
-characters are summed over a sliding window of lines: a region begins where the
-sum surges from zero to a line with text and ends where it dives to zero again.
-Everything between the surge and the dive of a kept region is the main text.
+characters are summed over a sliding window of lines: the main text begins at
+the first surge of the sum from zero and ends at its last dive to zero.  All
+lines in between that count are kept, however far apart they stand.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Without an article element, a region stays if it has this share of the largest region's characters.
-REGION_SHARE = 0.5
 LINK_SHARE = 0.8
 
 #: Names of HTML elements by what they mean for text.
@@ -145,33 +143,26 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def regions(sizes: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) of each stretch over which no window of ``window`` lines sums to zero."""
-    found, start, last = [], None, -1
-    for i in np.flatnonzero(sizes).tolist():
-        if start is None or i - last > window:
-            if start is not None:
-                found.append((start, last + 1))
-            start = i
-        last = i
-    return [*found, (start, last + 1)] if start is not None else found
+def span(sizes: np.ndarray, window: int = WINDOW) -> tuple[int, int]:
+    """[first surge, last dive): the lines from where the sum of ``window`` lines first leaves zero to where it last falls to it."""
+    sums = np.convolve(sizes, np.ones(window, np.int64))
+    filled = np.concatenate(([False], sums > 0, [False]))
+    surges, dives = np.flatnonzero(filled[1:] & ~filled[:-1]), np.flatnonzero(filled[:-1] & ~filled[1:])
+    return (int(surges[0]), int(dives[-1]) - window + 1) if len(surges) else (0, 0)
 
 
 def main_text(page: str | None, window: int = WINDOW) -> str:
-    """The blocks of the kept regions, joined by one space; empty if there are none.
+    """The blocks between the first surge and the last dive, joined by one space; empty if there are none.
 
     Null, empty and text-free pages give an empty text.  Where an article or main
-    element has text, only lines in one count, and all their regions stay.
+    element has text, only lines in one count.
     """
     found = lines(page or "")
     inside = any(x.main and not x.boilerplate for x in found)
     counted = [not x.boilerplate and (x.main if inside else x.linked < LINK_SHARE * len(x.text)) for x in found]
     sizes = np.array([len(x.text) if ok else 0 for x, ok in zip(found, counted)], np.int64)
-    kept = regions(sizes, window)
-    if not inside and kept:
-        totals = [int(sizes[a:b].sum()) for a, b in kept]
-        kept = [r for r, n in zip(kept, totals) if n >= REGION_SHARE * max(totals)]
-    return " ".join(found[i].text for a, b in kept for i in range(a, b) if sizes[i])
+    first, last = span(sizes, window) if len(sizes) else (0, 0)
+    return " ".join(found[i].text for i in range(first, last) if counted[i])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,3 +32,9 @@ from pointweave.llm.html_text import main_text
 )
 def test_markup(page, text):
     assert main_text(page) == text
+
+
+def test_text_after_a_list_of_links_stays():
+    links = "<ul>" + "<li><a href=x>related</a></li>" * 3 + "</ul>"
+    page = f"<div><p>{'first ' * 100}</p>{links}<p>{'later ' * 40}</p></div>"
+    assert main_text(page) == ("first " * 100 + "later " * 40).strip()
