@@ -96,8 +96,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: of each, one row with the least id."""
-    named = near_duplicates(docs, id_col, text_col)
-    key = "__kept_id"
-    kept = named.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key)).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi").dropDuplicates([id_col])
+    """One row of each component: that of the least id, a null one last, then of the least hash of its text."""
+    rows = storage.materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+    named = near_duplicates(rows, "__row", text_col).select(F.col("id").alias("__row"), "component_id")
+    best = F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col("__row").alias("row")))
+    kept = rows.join(named, "__row").groupBy("component_id").agg(best.alias("best")).select(F.col("best.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").drop("__row")
