@@ -7,8 +7,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEPTH = 64
-
 
 def _settled(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, through the session's checkpoint folder where one is set."""
@@ -54,22 +52,24 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return full.join(best, "component").select("node")
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = DEPTH) -> DataFrame:
-    """(node, ancestor, steps) over all paths of at most ``depth`` steps, cycles included once; steps is the shortest way.
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int | None = None, most_rounds: int = 64) -> DataFrame:
+    """(node, ancestor, steps) over all paths, of at most ``depth`` steps if given, cycles included once; steps is the shortest way.
 
-    Paths double in length every round, so the rounds are the logarithm of the depth.
+    Paths double in length every round until no pair is new, so the rounds are the logarithm of the depth.
     """
     known = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps")).distinct()
     size = -1
-    for _ in range(max(1, depth.bit_length())):
+    for _ in range(most_rounds):
         known = _settled(known)
         now = known.count()
         if now == size:
-            break
+            return known
         size = now
         longer = known.alias("p").join(known.alias("q"), F.col("p.ancestor") == F.col("q.node")).select("p.node", "q.ancestor", (F.col("p.steps") + F.col("q.steps")).alias("steps"))
-        known = known.union(longer.where(F.col("steps") <= depth)).groupBy("node", "ancestor").agg(F.min("steps").alias("steps"))
-    return known
+        if depth is not None:
+            longer = longer.where(F.col("steps") <= depth)
+        known = known.union(longer).groupBy("node", "ancestor").agg(F.min("steps").alias("steps"))
+    raise RuntimeError(f"the closure did not settle in {most_rounds} rounds")
 
 
 def with_self(closed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def unique_parents(candidates: DataFrame, child: str = "child") -> DataFrame:
     return candidates.withColumn("__n", F.count("*").over(Window.partitionBy(child))).where("__n = 1").drop("__n")
 
 
-def tree_order(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+def tree_order(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, path, depth) of a forest (node, parent), for a depth-first listing by path."""
     closed = closure(nodes.select(F.col("node").alias("child"), "parent"), depth=depth)
     ups = closed.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("s"), F.col("ancestor").alias("a")))).alias("ups"))
