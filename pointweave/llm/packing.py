@@ -13,13 +13,14 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import storage
-from .encoding import encoder, packed
+from .encoding import encoder, slices
 
 CAPACITY = 4096
 OPEN_WINDOWS = 64
@@ -61,7 +62,7 @@ def _pack(tokenizer_path: str, end_id: int, capacity: int, open_windows: int, ke
     schema = pa.schema({"key": key_type, "start": pa.int64(), "length": pa.int64(), "doc_tokens": pa.int64(), "part": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "ids": pa.binary()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, part = encoder(tokenizer_path), packed([end_id]), TaskContext.get().partitionId()
+        coder, end, part = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         rows: list[tuple] = []
         state = {"window": 0, "bytes": 0}
 
@@ -81,16 +82,19 @@ def _pack(tokenizer_path: str, end_id: int, capacity: int, open_windows: int, ke
 
         packer = WindowPacker(capacity, open_windows, close)
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = coder.encode(text) + end
-                total = len(ids) // 4
-                whole = total - total % capacity
-                for start in range(0, whole, capacity):
-                    close([(key, start, total, ids[4 * start : 4 * (start + capacity)])])
-                if whole < total:
-                    packer.place((key, whole, total, ids[4 * whole :]), total - whole)
-                if state["bytes"] > FLUSH_BYTES:
-                    yield flush()
+            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for first, last in slices(texts):
+                offsets, found = coder.encode_batch(texts[first:last])
+                found = found.astype("<u4").tobytes()
+                for key, begin, stop in zip(keys[first:last], offsets[:-1].tolist(), offsets[1:].tolist()):
+                    ids, total = found[4 * begin : 4 * stop] + end, stop - begin + 1
+                    whole = total - total % capacity
+                    for start in range(0, whole, capacity):
+                        close([(key, start, total, ids[4 * start : 4 * (start + capacity)])])
+                    if whole < total:
+                        packer.place((key, whole, total, ids[4 * whole :]), total - whole)
+                    if state["bytes"] > FLUSH_BYTES:
+                        yield flush()
         if rows:
             yield flush()
         at = 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import storage
-from .encoding import encoder
+from .encoding import encoder, slices
 
 SEQUENCE = 2048
 ROWS = 256
@@ -100,15 +100,17 @@ class TokenFile:
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, append ``end_id`` and write shards in ascending order of ``id_col`` under ``path``; returns the manifest, a row a shard.
 
-    Nulls: a null text is an empty document, a null id comes first.  Rows with
-    equal ids follow each other in the order of their texts.
+    Cases: a null text is an empty document; a null id comes first; rows with
+    equal ids, nulls too, follow each other by a hash of their texts, so one id
+    of very many rows spreads over shards; other columns are not read; an empty
+    table has no shard.
     """
     spark = docs.sparkSession
     uri = qualified(spark, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
-        dtype = np.uint16 if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
+        dtype = np.uint16 if max(coder.largest, end_id) < 1 << 16 else np.uint32
         shard = TaskContext.get().partitionId()
         system, folder = pyarrow.fs.FileSystem.from_uri(uri)
         system.create_dir(folder, recursive=True)
@@ -118,14 +120,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             if out is None:
                 sinks = [system.open_output_stream(f"{folder}/{stem}.{kind}.arrow") for kind in ("tokens", "index")]
                 out, index = SequenceWriter(sinks[0], dtype, sequence, pad=end_id), pa.ipc.new_file(sinks[1], index_schema)
-            starts, lengths = [], []
-            for text in b.column(1).to_pylist():
-                ids = np.append(np.frombuffer(coder.encode(text), "<u4"), end_id).astype(dtype)
-                starts.append(out.total)
-                lengths.append(len(ids))
-                out.append(ids)
+            texts, starts, lengths = b.column(1).to_pylist(), [], []
+            for first, last in slices(texts):
+                offsets, ids = coder.encode_batch(texts[first:last])
+                starts.append(out.total + offsets[:-1] + np.arange(last - first))
+                lengths.append(np.diff(offsets) + 1)
+                out.append(np.insert(ids.astype(dtype), offsets[1:], end_id))
             n_docs += b.num_rows
-            index.write_batch(pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], schema=index_schema))
+            index.write_batch(pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(starts), pa.int64()), pa.array(np.concatenate(lengths), pa.int64())], schema=index_schema))
         if out is None:
             return
         for x in (out, index, *sinks):
@@ -133,8 +135,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         row = {"shard": shard, "tokens_file": f"{uri}/{stem}.tokens.arrow", "index_file": f"{uri}/{stem}.index.arrow", "n_docs": n_docs, "n_tokens": out.total, "n_sequences": -(-out.total // sequence)}
         yield pa.RecordBatch.from_pylist([row], pa.schema({"shard": pa.int32(), "tokens_file": pa.string(), "index_file": pa.string(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "n_sequences": pa.int64()}))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    ordered = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     return storage.materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
