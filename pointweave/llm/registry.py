@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("row.doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
 
 
@@ -32,7 +32,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = transport_stream.load(transport_stream.store(table(spark, sf_dir, "documents")))
     first, last = F.get("points", F.lit(0)), F.element_at("points", -1)
-    shown = F.format_string("points=%d pts=%d..%d packet=%d..%d continuity_errors=%d", F.size("points"), first["pts"], last["pts"], first["packet"], last["packet"], "continuity_errors")
+    shown = F.format_string("points=%d pts=%d..%d packet=%d..%d continuity_errors=%d broken=%d sum=%d energy=%d", F.size("points"), first["pts"], last["pts"], first["packet"], last["packet"], "continuity_errors", "broken_units", "sample_sum", "sample_energy")
     return held.select(
         F.col("id").alias("doc_id"),
         "n_bytes",
@@ -51,7 +51,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = quality.importance_sample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    drawn = quality.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return drawn.select("row.doc_id", "log_weight", "gumbel_key", "selected")
 
 
@@ -86,11 +86,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 SEARCH_SQL = """
 WITH finite AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) = 64
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+asking AS (SELECT DISTINCT vec_id, q FROM finite WHERE vec_id % 20 = 0),
 scored AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM finite a JOIN finite b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+  FROM asking a JOIN finite b ON len(a.q) = len(b.q) AND a.vec_id <> b.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
