@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import settled
+
 
-def _settled(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, through the session's checkpoint folder where one is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="pointweave-")
-    context.setCheckpointDir(folder)
-    return df.checkpoint()
+BILLION = 1_000_000_000.0
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
@@ -28,14 +17,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     Every round takes the least name among neighbours, then the name's own name,
     so the number of rounds grows with the logarithm of the longest chain.
     """
-    both = _settled(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct())
-    names = _settled(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("name")).withColumnRenamed("x", "node"))
+    both = settled(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct())
+    names = settled(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("name")).withColumnRenamed("x", "node"))
     for _ in range(most_rounds):
         around = both.join(names, both["y"] == names["node"]).groupBy("x").agg(F.min("name").alias("near"))
         nearer = names.join(around, names["node"] == around["x"]).select("node", F.least("name", "near").alias("name"))
         jump = nearer.select(F.col("node").alias("via"), F.col("name").alias("top"))
         moved = nearer.join(jump, nearer["name"] == jump["via"], "left").select("node", F.least("name", F.coalesce("top", "name")).alias("name"))
-        moved = _settled(moved)
+        moved = settled(moved)
         changed = moved.alias("m").join(names.alias("n"), "node").where("m.name <> n.name").isEmpty()
         names = moved
         if changed:
@@ -60,7 +49,7 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", dept
     known = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps")).distinct()
     size = -1
     for _ in range(most_rounds):
-        known = _settled(known)
+        known = settled(known)
         now = known.count()
         if now == size:
             return known
@@ -147,13 +136,14 @@ def containment_support(pairs: DataFrame, observed: DataFrame, least_views: int
     """Per (child, parent): valid, support, mean and least containment, and whether the evidence suffices.
 
     ``observed`` (frame, class) says where each class was seen, so a shared frame
-    without common pixels counts as one with containment zero.
+    without common pixels counts as one with containment zero.  The mean is over
+    whole billionths, so it does not depend on the order of the sum.
     """
     seen = observed.alias("c").join(observed.alias("p"), (F.col("c.frame") == F.col("p.frame")) & (F.col("c.class") != F.col("p.class")))
     shared = seen.select(F.col("c.frame").alias("frame"), F.col("c.class").alias("child"), F.col("p.class").alias("parent"))
     full = shared.join(pairs, ["frame", "child", "parent"], "left")
     held = F.coalesce(F.col("inside") / F.col("child_area"), F.lit(0.0))
-    agg = full.groupBy("child", "parent").agg(F.count("*").alias("valid"), F.count_if(F.coalesce("supports", F.lit(False))).alias("support"), F.avg(held).alias("mean_containment"), F.min(held).alias("min_containment"))
+    agg = full.groupBy("child", "parent").agg(F.count("*").alias("valid"), F.count_if(F.coalesce("supports", F.lit(False))).alias("support"), (F.sum(F.floor(held * BILLION)) / F.count("*") / BILLION).alias("mean_containment"), F.min(held).alias("min_containment"))
     return agg.withColumn("sufficient", (F.col("support") >= least_views) & (F.col("support") * 2 > F.col("valid")))
 
 

@@ -1,9 +1,9 @@
 """Row numbers, even samples and chunks over any number of rows.
 
 A global row number in one window would pass every row through one task.  Here
-rows are dealt into ranges of the order, numbered within their range, and moved
-up by the counts of the ranges before; only those counts, one a range and group,
-meet in one place.
+rows are dealt into ranges of the order, sorted and numbered within their range
+and written so; the numbers then move up by the counts of the ranges before.
+Only those counts, one a range, meet in one place.
 """
 
 from __future__ import annotations
@@ -13,25 +13,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import written
+
+#: Bits of a row's number within its partition in monotonically_increasing_id.
+PLACE_BITS = 33
+
 
 def with_ordinal(rows: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "ordinal", total: str | None = None) -> DataFrame:
     """``rows`` with a 0-based position in ascending ``order`` within each group of ``by``; ``total`` names the group's size.
 
     ``order`` should tell rows of a group apart; rows that tie keep any order.
+    The ranges are dealt once and written, so all that is counted and joined
+    afterwards is one layout.
     """
-    ranged = rows.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id())
-    local = Window.partitionBy(*by, "__range").orderBy(*order)
-    numbered = ranged.withColumn("__local", F.row_number().over(local) - 1)
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
-    bases = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumn("__total", F.sum("__n").over(group)).drop("__n")
-    same = F.col("a.__range") == F.col("b.__range")
+    dealt = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    laid = written(dealt.withColumn("__at", F.monotonically_increasing_id()), "ordinals")
+    part, place = F.shiftright("__at", PLACE_BITS), F.col("__at").bitwiseAND((1 << PLACE_BITS) - 1)
+    sizes = laid.groupBy(part.alias("__range")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    # A row a range: as many as the exchange has partitions.
+    placed = laid.join(F.broadcast(bases), part == F.col("__range")).withColumn("__global", F.col("__base") + place)
+    if not by:
+        extra = [F.col("__all").alias(total)] if total else []
+        return placed.select(*rows.columns, F.col("__global").alias(name), *extra)
+    firsts = placed.groupBy(*by).agg(F.min("__global").alias("__first"), F.count("*").alias("__size"))
+    same = F.lit(True)
     for c in by:
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    joined = numbered.alias("a").join(bases.alias("b"), same)
-    extra = [F.col("b.__total").alias(total)] if total else []
-    return joined.select(*[f"a.{c}" for c in rows.columns], (F.col("a.__local") + F.col("b.__base")).cast("long").alias(name), *extra)
+    joined = placed.alias("a").join(firsts.alias("b"), same)
+    extra = [F.col("b.__size").alias(total)] if total else []
+    return joined.select(*[f"a.{c}" for c in rows.columns], (F.col("a.__global") - F.col("b.__first")).alias(name), *extra)
 
 
 def evenly(ordinal: Column, total: Column, k: int, rule: str) -> Column:
@@ -71,9 +83,10 @@ def even_sample(rows: DataFrame, order: Sequence[str], k: int, rule: str = "trun
     return numbered.where(evenly(F.col("ordinal"), F.col("__size"), k, rule)).drop("__size")
 
 
-def every_nth(rows: DataFrame, order: Sequence[str], n: int = 8) -> DataFrame:
-    """Rows 0, n, 2n, ... of the order: the held-out part of a split."""
-    return with_ordinal(rows, order).where(F.col("ordinal") % n == 0).drop("ordinal")
+def every_nth(rows: DataFrame, order: Sequence[str], n: int = 8, also: Column | None = None) -> DataFrame:
+    """Rows 0, n, 2n, ... of the order, the held-out part of a split, and all rows that ``also`` names."""
+    picked = F.col("ordinal") % n == 0
+    return with_ordinal(rows, order).where(picked if also is None else picked | F.coalesce(also, F.lit(False))).drop("ordinal")
 
 
 def chunk_manifest(rows: DataFrame, order: Sequence[str], size: int = 25_000) -> DataFrame:
@@ -102,7 +115,16 @@ def top_per_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k
     return ranked.where(F.col("rank") <= k)
 
 
-def weighted_sample(rows: DataFrame, k: int, weight: Column, *keys: str) -> DataFrame:
-    """``k`` rows without replacement in proportion to weight: the least of -ln(u) / weight, u from a hash of ``keys``."""
+def weighted_sample(rows: DataFrame, k: int, weight: Column, *keys: str, reserved: Column | None = None) -> DataFrame:
+    """``k`` rows without replacement in proportion to weight: the least of -ln(u) / weight, u from a hash of ``keys``.
+
+    Of rows that are ``reserved``, the first k // 2 of that order come before all
+    others, so half the sample is theirs if there are as many.
+    """
     u = (F.shiftrightunsigned(F.xxhash64(*keys), 12).cast("double") + 0.5) / float(1 << 52)
-    return rows.where(weight > 0).withColumn("__key", -F.log(u) / weight).orderBy("__key", *keys).limit(k).drop("__key")
+    drawn = rows.where(weight > 0).withColumn("__key", -F.log(u) / weight)
+    if reserved is None:
+        return drawn.orderBy("__key", *keys).limit(k).drop("__key")
+    first = drawn.where(reserved).orderBy("__key", *keys).limit(k // 2).select(*keys, F.lit(True).alias("__first"))
+    marked = drawn.join(F.broadcast(first), list(keys), "left")  # k // 2 rows at most
+    return marked.orderBy(F.col("__first").asc_nulls_last(), "__key", *keys).limit(k).select(*rows.columns)
