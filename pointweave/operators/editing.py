@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_command
+from ..functions import text as words
 from .graph import closure, descendants
 
 ACTIONS = frozenset({"search", "focus", "hide", "show", "isolate", "delete", "undo", "priority"})
 EVERYTHING = ("all", "全部", "所有", "场景", "scene")
 UNDO_STEPS = 20
+#: Actions that change nothing and so leave no history.
+READING = frozenset({"search", "focus"})
 
 
 @dataclass(frozen=True)
@@ -33,7 +38,11 @@ class Command:
 
     @classmethod
     def parse(cls, text: str) -> Command:
-        return cls(**parse_command(text))
+        """One request, read by the same columns as a table of them."""
+        found = SparkSession.active().range(1).select(words.command(F.lit(str(text))).alias("c")).first()["c"]
+        if found is None:
+            raise ValueError("a request has 1 to 1000 characters")
+        return cls(**found.asDict())
 
 
 def terms(query: Column) -> Column:
@@ -74,7 +83,6 @@ def apply_to_objects(objects: DataFrame, selected: DataFrame, command: Command)
     """Objects after a command; rows are never removed, deletion is a flag."""
     chosen = F.col("__sel").isNotNull()
     joined = objects.join(selected.select(F.col("node").alias("id"), F.lit(True).alias("__sel")), "id", "left")
-    any_selected = F.lit(True)
     if command.action == "isolate":
         joined = joined.withColumn("visible", chosen | (F.col("level") == "scene"))
     elif command.action in ("hide", "delete"):
@@ -85,7 +93,7 @@ def apply_to_objects(objects: DataFrame, selected: DataFrame, command: Command)
         joined = joined.withColumn("visible", F.when(chosen, True).otherwise(F.col("visible"))).withColumn("deleted", F.when(chosen, False).otherwise(F.col("deleted")))
     elif command.action == "priority":
         joined = joined.withColumn("priority", F.when(chosen, F.lit(command.priority)).otherwise(F.col("priority")))
-    return joined.where(any_selected).select(*objects.columns)
+    return joined.select(*objects.columns)
 
 
 def apply_to_points(points: DataFrame, members: DataFrame, selected: DataFrame, command: Command) -> DataFrame:
@@ -126,21 +134,32 @@ def visible_items(points: DataFrame, members: DataFrame, hidden: DataFrame, isol
 def fold_log(log: DataFrame, steps: int = UNDO_STEPS) -> DataFrame:
     """Commands of a log (scene, seq, action, ...) that still hold: an undo takes back the latest not yet taken back.
 
-    Undo depth is bounded: one beyond ``steps`` finds nothing.  A running count
-    of open commands pairs each undo with its command, without a loop: the
-    command of level n is undone by the first later undo that falls below n.
+    A scene's history keeps ``steps`` commands; what leaves it holds for good, and
+    an undo of an empty history does nothing.  A scene's rows pass a task in
+    order, which holds no more of them than its history, however long the log.
     """
-    w = Window.partitionBy("scene").orderBy("seq")
-    step = F.when(F.col("action") == "undo", -1).when(F.col("action").isin("search", "focus"), 0).otherwise(1)
-    depth = F.sum("__step").over(w)
-    # An undo on an empty history does nothing: the level counts from the lowest point so far.
-    walked = log.withColumn("__step", step).withColumn("__raw", depth)
-    floor = F.least(F.lit(0), F.min("__raw").over(w))
-    leveled = walked.withColumn("__level", F.col("__raw") - floor)
-    pushes = leveled.where("__step = 1").alias("p")
-    pops = leveled.where("__step = -1").select(F.col("scene").alias("s"), F.col("seq").alias("at"), F.col("__level").alias("to")).alias("u")
-    undone = pushes.join(pops, (F.col("p.scene") == F.col("s")) & (F.col("at") > F.col("p.seq")) & (F.col("to") < F.col("p.__level")), "left_anti")
-    return undone.select(*[F.col(f"p.{c}") for c in log.columns])
+    schema = log.schema
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scene, history = None, deque()
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                if row["scene"] != scene:
+                    done += history
+                    scene, history = row["scene"], deque()
+                if row["action"] == "undo":
+                    if history:
+                        history.pop()
+                elif row["action"] not in READING:
+                    if len(history) == steps:
+                        done.append(history.popleft())
+                    history.append(row)
+            yield pa.RecordBatch.from_pylist(done, batch.schema)
+        if history:
+            yield pa.RecordBatch.from_pylist(list(history), batch.schema)
+
+    return log.repartition("scene").sortWithinPartitions("scene", "seq").mapInArrow(fold, schema)
 
 
 def undo_stack(log: DataFrame, steps: int = UNDO_STEPS) -> DataFrame:

@@ -32,6 +32,27 @@ def _after(spark, sf, text):
     return e.apply_to_objects(objects, e.resolve(objects, command), command).select("id", "visible", "deleted", "priority")
 
 
+#: The queries that a reader expects of the same requests.
+NAMED_IN = ["椅子", "chairs", "椅子", "椅子", "old table", "lamp", "", "red sofa", "all", "window", "a plain label"]
+
+
+@query("SELECT request, action, name AS query, action <> 'priority' OR request NOT LIKE '%取消%' AS priority FROM (VALUES " + ", ".join(f"('{q}', '{a}', '{n}')" for q, a, n in zip(REQUESTS, EXPECTED, NAMED_IN)) + ") v(request, action, name)")
+def command_parse(spark, sf):
+    asked = spark.createDataFrame([(q,) for q in REQUESTS], "request string")
+    return asked.select("request", t.command(F.col("request")).alias("c")).select("request", "c.action", "c.query", "c.priority")
+
+
+#: Priority requests and the labels that a reader expects of them, in order.
+WANTED = {"优先重建小熊、熊耳朵,杯子": ["stuffed bear", "bear ear", "cup"], "重点：椅子; Red  Lamp。": ["chair", "red lamp"], "熊, 小熊, bear": ["stuffed bear", "bear"], " ,,": []}
+
+
+@query("SELECT request, unnest(labels) AS label, generate_subscripts(labels, 1) AS place FROM (VALUES " + ", ".join(f"('{q}', {w}::VARCHAR[])" for q, w in WANTED.items()) + ") v(request, labels)")
+def request_labels(spark, sf):
+    asked = spark.createDataFrame([(q,) for q in WANTED], "request string")
+    named = asked.select("request", F.posexplode(t.request_labels(F.col("request"))))
+    return named.select("request", "col.label", (F.col("pos") + 1).cast("long").alias("place"))
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{a}')" for q, a in zip(REQUESTS, EXPECTED)) + ") v(request, action)")
 def command_action(spark, sf):
     asked = spark.createDataFrame([(q,) for q in REQUESTS], "request string")
@@ -126,10 +147,11 @@ def undo_stack(spark, sf):
 
 FOLD = """
 WITH RECURSIVE l AS (SELECT user_id AS scene, event_id AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'view' THEN 'search' ELSE 'hide' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-f AS (SELECT scene, 0::BIGINT AS k, []::BIGINT[] AS stack FROM (SELECT DISTINCT scene FROM l)
-UNION ALL SELECT l.scene, l.k, CASE l.action WHEN 'hide' THEN list_append(f.stack, l.seq) WHEN 'undo' THEN f.stack[:-2] ELSE f.stack END FROM f JOIN l ON l.scene = f.scene AND l.k = f.k + 1),
-fin AS (SELECT scene, arg_max(stack, k) AS stack FROM f GROUP BY scene)
-SELECT scene, unnest(stack) AS seq FROM fin"""
+f AS (SELECT scene, 0::BIGINT AS k, []::BIGINT[] AS held, 0::BIGINT AS open FROM (SELECT DISTINCT scene FROM l)
+UNION ALL SELECT l.scene, l.k, CASE WHEN l.action = 'hide' THEN list_append(f.held, l.seq) WHEN l.action = 'undo' AND f.open > 0 THEN f.held[:-2] ELSE f.held END,
+CASE l.action WHEN 'hide' THEN least(f.open + 1, 20) WHEN 'undo' THEN greatest(f.open - 1, 0) ELSE f.open END FROM f JOIN l ON l.scene = f.scene AND l.k = f.k + 1),
+fin AS (SELECT scene, arg_max(held, k) AS held FROM f GROUP BY scene)
+SELECT scene, unnest(held) AS seq FROM fin"""
 
 
 @query(FOLD)

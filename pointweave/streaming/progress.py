@@ -1,15 +1,18 @@
 """Remaining time of trainings from their progress, in batch and as a stream.
 
 The rules: an observation counts if its counter moved.  A new run begins when the
-counter falls, its total changes or nothing came for 45 seconds.  The rate is the
-median of the last five observed rates, once three observations spread over at
-least two seconds and no two of them differ by more than half.
+counter falls, its total changes or nothing came for 45 seconds, and after a line
+that is no progress.  The rate is the median of the last five rates, once
+observations spread over at least two seconds and no two rates differ by more
+than half.  Rates are those that the lines print, if the latest three lines or
+more print one, else those observed between lines.
 """
 
 from __future__ import annotations
 
 import statistics
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -35,25 +38,40 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def track(samples: DataFrame, job: str = "job_id", at: str = "at") -> DataFrame:
-    """Samples (job, at seconds, iteration, total) with run, observed rate, eta and whether the estimate is stable.
+    """Samples (job, at seconds, iteration, total, and printed if there is one) with run, rate, eta, stable and basis.
 
     Windows over a job's own samples: repeats of a counter fall out first, then
-    gaps and restarts number the runs, and five rows back decide.
+    gaps and restarts number the runs, and five rows back decide.  A sample
+    without a counter ends its run and gives no row.
     """
+    printed = F.col("printed") if "printed" in samples.columns else F.lit(None).cast("double")
     w = Window.partitionBy(job).orderBy(at, "iteration")
-    moved = samples.withColumn("__p", F.lag("iteration").over(w)).withColumn("__t", F.lag("total").over(w))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    breaks = samples.withColumn("__print", printed).withColumn("__breaks", F.sum(F.col("iteration").isNull().cast("int")).over(upto))
+    rows = breaks.where(F.col("iteration").isNotNull())
+    w = Window.partitionBy(job, "__breaks").orderBy(at, "iteration")
+    moved = rows.withColumn("__p", F.lag("iteration").over(w)).withColumn("__t", F.lag("total").over(w))
     moved = moved.where(F.col("__p").isNull() | (F.col("__p") != F.col("iteration")) | (F.col("__t") != F.col("total")))
     before = moved.withColumns({"__p": F.lag("iteration").over(w), "__t": F.lag("total").over(w), "__a": F.lag(at).over(w)})
     fresh = F.col("__p").isNull() | (F.col("__t") != F.col("total")) | (F.col("iteration") < F.col("__p")) | (F.col(at) - F.col("__a") > MAX_GAP)
-    runs = before.withColumn("run", F.sum(fresh.cast("int")).over(w))
-    step = F.when(~fresh & (F.col(at) > F.col("__a")), (F.col("iteration") - F.col("__p")) / (F.col(at) - F.col("__a")))
+    all_of_job = Window.partitionBy(job).orderBy(at, "iteration").rowsBetween(Window.unboundedPreceding, 0)
+    runs = before.withColumn("__fresh", fresh).withColumn("run", F.sum(F.col("__fresh").cast("int")).over(all_of_job))
+    step = F.when(~F.col("__fresh") & (F.col(at) > F.col("__a")), (F.col("iteration") - F.col("__p")) / (F.col(at) - F.col("__a")))
     inside = Window.partitionBy(job, "run").orderBy(at, "iteration")
-    recent = inside.rowsBetween(1 - KEPT, 0)
-    rated = runs.withColumns({"observed": step, "__first": F.min(at).over(inside.rowsBetween(Window.unboundedPreceding, 0))})
-    rated = rated.withColumns({"__n": F.count("observed").over(recent), "__lo": F.min("observed").over(recent), "__hi": F.max("observed").over(recent), "__med": F.percentile("observed", F.lit(0.5)).over(recent)})
-    stable = (F.col(at) - F.col("__first") >= LEAST_SPAN) & (F.col("__n") >= LEAST_SAMPLES) & (F.col("__lo") > 0) & (F.col("__hi") <= MOST_SPREAD * F.col("__lo"))
-    out = rated.withColumn("stable", F.coalesce(stable, F.lit(False)))
-    return out.select(*samples.columns, "run", "stable", F.when(F.col("stable"), F.col("__med")).alias("rate"), F.when(F.col("stable"), (F.col("total") - F.col("iteration")) / F.col("__med")).alias("eta"))
+    since = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rated = runs.withColumns({"__step": step, "__first": F.min(at).over(since), "__silent": F.sum(F.col("__print").isNull().cast("int")).over(since)})
+
+    def last(name: str, window) -> dict:
+        recent = window.rowsBetween(1 - KEPT, 0)
+        return {f"{name}_n": F.count(name).over(recent), f"{name}_lo": F.min(name).over(recent), f"{name}_hi": F.max(name).over(recent), f"{name}_med": F.percentile(name, F.lit(0.5)).over(recent)}
+
+    rated = rated.withColumns(last("__step", inside)).withColumns(last("__print", Window.partitionBy(job, "run", "__silent").orderBy(at, "iteration")))
+    printing = F.col("__print_n") >= LEAST_SAMPLES
+    of = lambda k: F.when(printing, F.col(f"__print_{k}")).otherwise(F.col(f"__step_{k}"))
+    stable = (F.col(at) - F.col("__first") >= LEAST_SPAN) & (of("n") >= LEAST_SAMPLES) & (of("lo") > 0) & (of("hi") <= MOST_SPREAD * of("lo"))
+    out = rated.withColumns({"stable": F.coalesce(stable, F.lit(False)), "__rate": of("med")})
+    basis = F.when(~F.col("stable"), "collecting").when(printing, "printed_rate").otherwise("observed_intervals")
+    return out.select(*samples.columns, "run", "stable", F.when(F.col("stable"), F.col("__rate")).alias("rate"), F.when(F.col("stable"), (F.col("total") - F.col("iteration")) / F.col("__rate")).alias("eta"), basis.alias("basis"))
 
 
 def recent_step_eta(steps: DataFrame, job: str, order: str, seconds: str, remaining: str, k: int = 10) -> DataFrame:
@@ -62,58 +80,103 @@ def recent_step_eta(steps: DataFrame, job: str, order: str, seconds: str, remain
     return steps.withColumn("eta", F.avg(seconds).over(w) * F.col(remaining))
 
 
-class Tracker:
-    """One job's state; plain values only, so it can be stored as a row."""
-
-    def __init__(self, last=None, total=None, first_at=None, last_at=None, rates=(), intervals=()):
-        self.last, self.total, self.first_at, self.last_at = last, total, first_at, last_at
-        self.rates, self.intervals = list(rates), list(intervals)
-
-    def update(self, at: float, iteration: int | None, total: int | None, printed: float | None) -> tuple | None:
-        """(iteration, total, rate, eta, basis) after an observation; None for a line that is no progress or repeats the counter."""
-        if iteration is None or total is None:
-            self.__init__()
-            return None
-        if total != self.total or self.last is not None and iteration < self.last:
-            self.__init__()
-        if iteration == self.last:
-            return None
-        if self.last_at is not None and at - self.last_at > MAX_GAP:
-            self.__init__()
-        if self.first_at is None:
-            self.first_at = at
-        elif at > self.last_at:
-            self.intervals = [*self.intervals, (iteration - self.last) / (at - self.last_at)][-KEPT:]
-        self.rates = [*self.rates, printed][-KEPT:] if printed else []
-        self.last, self.total, self.last_at = iteration, total, at
-        known = self.rates if len(self.rates) >= LEAST_SAMPLES else self.intervals
-        stable = at - self.first_at >= LEAST_SPAN and len(known) >= LEAST_SAMPLES and min(known) > 0 and max(known) <= MOST_SPREAD * min(known)
-        if not stable:
-            return iteration, total, None, None, "collecting"
-        rate = statistics.median(known)
-        return iteration, total, rate, (total - iteration) / rate, "printed_rate" if known is self.rates else "observed_intervals"
-
-
-STATE = "last long, total long, first_at double, last_at double, rates array<double>, intervals array<double>"
+@dataclass(frozen=True)
+class Run:
+    """The observations of a training since it last began anew: the first time, and the latest ones, oldest first."""
+
+    total: int
+    first_at: float
+    times: tuple[float, ...]
+    counters: tuple[int, ...]
+    printed: tuple[float | None, ...]
+
+    def follows(self, at: float, iteration: int, total: int) -> bool:
+        return total == self.total and iteration >= self.counters[-1] and at - self.times[-1] <= MAX_GAP
+
+    def repeats(self, iteration: int, total: int) -> bool:
+        return total == self.total and iteration == self.counters[-1]
+
+    def with_one(self, at: float, iteration: int, printed: float | None) -> Run:
+        keep = slice(-KEPT, None)  # and the new one: KEPT steps
+        return Run(self.total, self.first_at, (*self.times[keep], at), (*self.counters[keep], iteration), (*self.printed[keep], printed))
+
+    def rates(self) -> tuple[str, list[float]]:
+        """The latest rates and where they are from."""
+        said = []
+        for value in reversed(self.printed[-KEPT:]):
+            if value is None:
+                break
+            said.append(value)
+        if len(said) >= LEAST_SAMPLES:
+            return "printed_rate", said
+        seen = list(zip(self.times, self.counters))
+        return "observed_intervals", [(n - m) / (t - s) for (s, m), (t, n) in zip(seen, seen[1:]) if t > s][-KEPT:]
+
+    def estimate(self) -> tuple:
+        """(iteration, total, rate, eta, basis)."""
+        basis, rates = self.rates()
+        steady = len(rates) >= LEAST_SAMPLES and 0 < max(rates) <= MOST_SPREAD * min(rates)
+        if not steady or self.times[-1] - self.first_at < LEAST_SPAN:
+            return self.counters[-1], self.total, None, None, "collecting"
+        rate = statistics.median(rates)
+        return self.counters[-1], self.total, rate, (self.total - self.counters[-1]) / rate, basis
+
+
+def observe(run: Run | None, at: float, iteration: int | None, total: int | None, printed: float | None) -> tuple[Run | None, tuple | None]:
+    """(the run after a line, its estimate); no estimate for a line that is no progress or repeats the counter."""
+    if iteration is None or total is None:
+        return None, None
+    if run and run.repeats(iteration, total):
+        return run, None
+    if run and run.follows(at, iteration, total):
+        run = run.with_one(at, iteration, printed)
+    else:
+        run = Run(total, at, (at,), (iteration,), (printed,))
+    return run, run.estimate()
+
+
+STATE = "total long, first_at double, times array<double>, counters array<long>, printed array<double>"
 OUTPUT = "job_id string, at double, iteration long, total long, rate double, eta double, basis string"
+NAMES = ["job_id", "at", "iteration", "total", "rate", "eta", "basis"]
+STATE_TTL_MS = 3_600_000
 
 
 class ProgressProcessor(StatefulProcessor):
-    """``Tracker`` per job, for ``transformWithStateInPandas``; state that nothing touches for an hour expires."""
+    """``observe`` per job, for ``transformWithStateInPandas``.
+
+    A job of which nothing came for 45 seconds gets one row with basis ``stale``
+    and no estimate; state that nothing touches for an hour expires.
+    """
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("tracker", STATE, 3_600_000)
+        self.handle, self.state = handle, handle.getValueState("run", STATE, STATE_TTL_MS)
+
+    def _held(self) -> Run | None:
+        if not self.state.exists():
+            return None
+        total, first_at, *rest = self.state.get()
+        return Run(total, first_at, *map(tuple, rest))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        tracker = Tracker(*self.state.get()) if self.state.exists() else Tracker()
-        out = []
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        run, out = self._held(), []
         for at, iteration, total, printed in pd.concat(list(rows)).sort_values("at", kind="stable")[["at", "iteration", "total", "printed"]].itertuples(index=False):
-            plain = [None if pd.isna(x) else x for x in (iteration, total, printed)]
-            found = tracker.update(float(at), *(int(x) if x is not None else None for x in plain[:2]), plain[2])
+            a, b, c = (None if pd.isna(x) else x for x in (iteration, total, printed))
+            run, found = observe(run, float(at), a if a is None else int(a), b if b is None else int(b), c)
             if found:
                 out.append((key[0], float(at), *found))
-        self.state.update((tracker.last, tracker.total, tracker.first_at, tracker.last_at, tracker.rates, tracker.intervals))
-        yield pd.DataFrame(out, columns=["job_id", "at", "iteration", "total", "rate", "eta", "basis"])
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if run is None:
+            self.state.clear()
+        else:
+            self.state.update(astuple(run))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * MAX_GAP))
+        yield pd.DataFrame(out, columns=NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        run = self._held()
+        rows = [(key[0], run.times[-1], run.counters[-1], run.total, None, None, "stale")] if run else []
+        yield pd.DataFrame(rows, columns=NAMES)
 
     def close(self) -> None:
         pass

@@ -166,15 +166,19 @@ def objects(spark):
     return spark.createDataFrame([(*o, True, False, False) for o in OBJECTS], "id string, parent_id string, label string, level string, aliases array<string>, visible boolean, deleted boolean, priority boolean")
 
 
-def test_commands_parse():
-    parse = lambda s: tuple(text.parse_command(s).get(k) for k in ("action", "query", "priority"))
+def test_commands_parse(spark):
+    def parse(request):
+        c = spark.range(1).select(text.command(F.lit(request)).alias("c")).first()["c"]
+        return c and tuple(c)
+
     assert parse("隐藏所有椅子") == ("hide", "椅子", True)
     assert parse("show all chairs") == ("show", "chairs", True)
     assert parse("只显示椅子") == ("isolate", "椅子", True)
     assert parse("取消加强椅子") == ("priority", "椅子", False)
     assert parse("undo")[0] == "undo"
+    assert parse("  ") is None and parse("x" * 1001) is None
     with pytest.raises(ValueError):
-        text.parse_command("  ")
+        editing.Command.parse("  ")
     with pytest.raises(ValueError):
         editing.Command("format", "disk")
 
@@ -199,6 +203,25 @@ def test_undo_on_an_empty_history_does_nothing(spark):
     assert values(kept, "seq") == [(6,)]
 
 
+def test_the_history_keeps_so_many_commands(spark):
+    log = [("s", i, "hide") for i in range(30)] + [("s", 30 + i, "undo") for i in range(25)] + [(None, 0, "show"), (None, 1, "search")]
+    kept = editing.fold_log(spark.createDataFrame(log, "scene string, seq int, action string"))
+    assert values(kept, "seq") == [(0,), *((i,) for i in range(10))]
+    assert editing.fold_log(kept.where("false")).count() == 0
+
+
+def test_requests_for_priority(spark):
+    def labels(request):
+        return [tuple(r) for r in spark.range(1).select(text.request_labels(F.lit(request)).alias("r")).first()["r"]]
+
+    assert labels("请优先重建小熊、Red  Lamp；熊") == [("小熊", "stuffed bear", "dictionary"), ("Red  Lamp", "red lamp", "literal")]
+    assert labels("a and b/c") == [("a and b/c", "a and b/c", "literal")] and labels("") == []
+    assert len(labels(",".join(f"n{i}" for i in range(20)))) == 20
+    for refused in (",".join(["same"] * 21), "x" * 1001):
+        with pytest.raises(Exception, match="a request"):
+            labels(refused)
+
+
 def test_labels_and_numbers(spark):
     rows = spark.createDataFrame([("  Ｔａｂｌｅ – Top ", [1.0, 0.0, 0.0], 32.0)], "s string, v array<double>, f double")
     row = rows.select(text.normalize_label("s"), numeric.cosine(F.col("v"), F.col("v")), text.int_hash(F.lit("hello")), text.fenced_json(F.lit('```json\n{"a": 1}\n```')), numeric.sh_degree(F.lit(24))).first()
