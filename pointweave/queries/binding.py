@@ -10,14 +10,16 @@ from .common import collector, table
 
 QUERIES, query = collector()
 
-CAMERAS = "(SELECT doc_id AS camera, source || '/' || doc_id % 300 || '.png' AS path FROM documents WHERE doc_id < 450)"
-MASKS = "(SELECT doc_id AS mask, CASE WHEN doc_id % 2 = 0 THEN source || '/' || doc_id % 300 || '.png' ELSE 'copy/' || doc_id % 300 || '.png' END AS ref FROM documents)"
+#: Every document is a camera; pairs of neighbours share a file name, every ninth another's path too.
+FILE = "(doc_id - doc_id % 3 // 2) || '.png'"
+CAMERAS = f"(SELECT doc_id AS camera, CASE WHEN doc_id % 9 = 2 THEN 'all' ELSE source END || '/' || {FILE} AS path FROM documents)"
+MASKS = f"(SELECT doc_id AS mask, CASE WHEN doc_id % 2 = 0 THEN source || '/' || {FILE} ELSE 'copy/' || {FILE} END AS ref FROM documents)"
 
 
 def _paths(spark, sf):
     d = table(spark, sf, "documents")
-    name = F.concat((F.col("doc_id") % 300).cast("string"), F.lit(".png"))
-    cameras = d.where("doc_id < 450").select(F.col("doc_id").alias("camera"), F.concat_ws("/", "source", name).alias("path"))
+    name = F.concat((F.col("doc_id") - F.floor(F.col("doc_id") % 3 / 2)).cast("string"), F.lit(".png"))
+    cameras = d.select(F.col("doc_id").alias("camera"), F.concat_ws("/", F.when(F.col("doc_id") % 9 == 2, "all").otherwise(F.col("source")), name).alias("path"))
     masks = d.select(F.col("doc_id").alias("mask"), F.concat_ws("/", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("copy"), name).alias("ref"))
     return cameras, masks
 
@@ -146,12 +148,12 @@ def uncovered_labels(spark, sf):
     return b.uncovered(p.where("p_size < 10"), p.where("p_size > 45"))
 
 
-PAIRS = "(SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1)"
+PAIRS = "(SELECT DISTINCT l_partkey AS a, l_orderkey * 50 + l_quantity::BIGINT AS b FROM lineitem)"
 
 
 @query(f"WITH p AS (SELECT * FROM {PAIRS}), c AS (SELECT *, count(*) OVER (PARTITION BY a) AS x, count(*) OVER (PARTITION BY b) AS y FROM p) SELECT a, b FROM c WHERE x = 1 AND y = 1")
 def one_to_one_pairs(spark, sf):
-    p = table(spark, sf, "lineitem").where("l_quantity = 50 AND l_linenumber = 1").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    p = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") * 50 + F.col("l_quantity").cast("long")).alias("b"))
     return b.one_to_one(p)
 
 

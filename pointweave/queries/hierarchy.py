@@ -30,11 +30,11 @@ def descendants(spark, sf):
     return graph.descendants(picked, _edges(spark, sf))
 
 
-MEMBER = "(SELECT o_orderkey AS item, CASE WHEN o_orderkey % 3 = 0 THEN 'n' || o_custkey % 25 ELSE 'c' || o_custkey END AS node FROM orders WHERE o_orderkey % 10 < 4)"
+MEMBER = "(SELECT o_orderkey AS item, CASE WHEN o_orderkey % 3 = 0 THEN 'n' || o_custkey % 25 ELSE 'c' || o_custkey END AS node FROM orders)"
 
 
 def _members(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 10 < 4")
+    o = table(spark, sf, "orders")
     nation = F.concat(F.lit("n"), (F.col("o_custkey") % 25).cast("string"))
     return o.select(F.col("o_orderkey").alias("item"), F.when(F.col("o_orderkey") % 3 == 0, nation).otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("node"), "o_totalprice")
 
@@ -51,14 +51,15 @@ def probability_closure(spark, sf):
     return graph.close_probability(scores, graph.closure(_edges(spark, sf))).select("item", "node", r6("p").alias("p"))
 
 
-#: A functional graph with cycles: each key of 600 points to another by a fixed rule.
-LOOPS = "(SELECT DISTINCT (o_orderkey % 600)::BIGINT AS child, ((o_orderkey % 600) * 7 + 3) % 600 AS parent FROM orders WHERE (o_orderkey % 600) % 4 <> 1)"
+#: A functional graph with cycles over all orders: within sixteen neighbours each key points to another by a fixed rule.
+LOOPS = "(SELECT DISTINCT o_orderkey::BIGINT AS child, o_orderkey - o_orderkey % 16 + ((o_orderkey % 16) * 7 + 3) % 16 AS parent FROM orders WHERE o_orderkey % 4 <> 1)"
 REACH = f"WITH RECURSIVE e AS (SELECT * FROM {LOOPS}), up AS (SELECT child AS node, parent AS ancestor FROM e UNION SELECT up.node, e.parent FROM up JOIN e ON e.child = up.ancestor)"
 
 
 def _loops(spark, sf):
-    k = F.col("o_orderkey") % 600
-    return table(spark, sf, "orders").where(k % 4 != 1).select(k.alias("child"), ((k * 7 + 3) % 600).alias("parent")).distinct()
+    """Orders without a parent, a fourth, are roots or leaves of the graph."""
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").where(k % 4 != 1).select(k.alias("child"), (k - k % 16 + ((k % 16) * 7 + 3) % 16).alias("parent")).distinct()
 
 
 @query(REACH + " SELECT DISTINCT node FROM up WHERE node = ancestor")
@@ -71,13 +72,14 @@ def without_cycles(spark, sf):
     return graph.without_cycles(_loops(spark, sf))
 
 
-LINKS = "(SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey % 5 AS b FROM orders WHERE o_orderkey % 37 = 0)"
+#: Orders of one customer's neighbourhood on one day of the month: many small components and all rows.
+LINKS = "(SELECT DISTINCT o_custkey * 31 + day(o_orderdate) AS a, (o_custkey + o_orderkey % 2) * 31 + day(o_orderdate) AS b FROM orders)"
 COMPS = f"WITH RECURSIVE e AS (SELECT a, b FROM {LINKS} UNION SELECT b, a FROM {LINKS}), r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached), comp AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
 
 def _links(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 37 = 0")
-    return o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 5).alias("b")).distinct()
+    day = F.dayofmonth("o_orderdate")
+    return table(spark, sf, "orders").select((F.col("o_custkey") * 31 + day).alias("a"), ((F.col("o_custkey") + F.col("o_orderkey") % 2) * 31 + day).alias("b")).distinct()
 
 
 @query(COMPS + " SELECT node, component FROM comp")
@@ -100,7 +102,7 @@ pairs AS (SELECT i.*, u.area AS child_area, v.area AS parent_area, inside / u.ar
 """
 SUPPORTED = PAIRED + """,
 met AS (SELECT c.frame, c.class AS child, p.class AS parent FROM n c JOIN n p ON c.frame = p.frame AND c.class <> p.class),
-sup AS (SELECT child, parent, count(*) AS valid, count_if(coalesce(supports, false))::BIGINT AS support, avg(coalesce(inside / child_area, 0)) AS mean_containment, min(coalesce(inside / child_area, 0)) AS min_containment FROM met LEFT JOIN pairs USING (frame, child, parent) GROUP BY ALL)
+sup AS (SELECT child, parent, count(*) AS valid, count_if(coalesce(supports, false))::BIGINT AS support, sum(floor(coalesce(inside / child_area, 0) * 1000000000.0::DOUBLE)::BIGINT) / count(*) / 1000000000.0::DOUBLE AS mean_containment, min(coalesce(inside / child_area, 0)) AS min_containment FROM met LEFT JOIN pairs USING (frame, child, parent) GROUP BY ALL)
 """
 
 
@@ -119,9 +121,9 @@ def containment_pairs(spark, sf):
     return graph.containment_pairs(_pixels(spark, sf)).select("frame", "child", "parent", "inside", "child_area", "parent_area", "supports")
 
 
-@query(SUPPORTED + "SELECT child, parent, valid, support, round(mean_containment, 6) AS mean_containment, round(min_containment, 6) AS min_containment, support >= 2 AND support * 2 > valid AS sufficient FROM sup")
+@query(SUPPORTED + "SELECT child, parent, valid, support, floor(mean_containment * 1000000.0::DOUBLE)::BIGINT AS mean_millionths, floor(min_containment * 1000000.0::DOUBLE)::BIGINT AS min_millionths, support >= 2 AND support * 2 > valid AS sufficient FROM sup")
 def containment_support(spark, sf):
-    return _support(spark, sf).select("child", "parent", "valid", "support", r6("mean_containment").alias("mean_containment"), r6("min_containment").alias("min_containment"), "sufficient")
+    return _support(spark, sf).select("child", "parent", "valid", "support", F.floor(F.col("mean_containment") * 1e6).alias("mean_millionths"), F.floor(F.col("min_containment") * 1e6).alias("min_millionths"), "sufficient")
 
 
 @query("WITH e AS (SELECT DISTINCT p_brand || '/' || p_size % 10 AS child, p_type AS parent FROM part), c AS (SELECT *, count(*) OVER (PARTITION BY child) AS k FROM e) SELECT child, parent FROM c WHERE k = 1")

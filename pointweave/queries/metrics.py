@@ -97,11 +97,11 @@ def supervision_coverage(spark, sf):
 
 
 @query("""
-WITH mem AS (SELECT DISTINCT o_custkey AS point, 'k' || o_orderkey % 5 AS class FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT c_custkey AS point, count(class) AS n FROM customer LEFT JOIN mem ON point = c_custkey GROUP BY 1),
+WITH mem AS (SELECT DISTINCT o_custkey AS point, 'k' || o_orderkey % 5 AS class FROM orders), n AS (SELECT c_custkey AS point, count(class) AS n FROM customer LEFT JOIN mem ON point = c_custkey GROUP BY 1),
 e AS (SELECT * FROM (VALUES ('k1', 'k0'), ('k2', 'k0'), ('k3', 'k2')) t(child, parent))
 SELECT round(avg((n = 0)::INT), 6) AS unknown, round(avg((n > 1)::INT), 6) AS multilabel, (SELECT count(*) FROM mem JOIN e ON child = class WHERE NOT EXISTS (FROM mem x WHERE x.point = mem.point AND x.class = e.parent)) AS violations FROM n""")
 def membership_diagnostics(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, sf, "orders")
     members = o.select(F.col("o_custkey").alias("point"), F.concat(F.lit("k"), (F.col("o_orderkey") % 5).cast("string")).alias("class")).distinct()
     edges = spark.createDataFrame([("k1", "k0"), ("k2", "k0"), ("k3", "k2")], "child string, parent string")
     points = table(spark, sf, "customer").select(F.col("c_custkey").alias("point"))
