@@ -147,3 +147,29 @@ def normalized_row(position: Column, scale: Column, color: Column, opacity: Colu
     n = norm(rotation)
     turn = F.when(n > 1e-12, F.transform(rotation, lambda x: x / n)).otherwise(F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 0.0)]))
     return [position, keep(scale, 1e-6, 1e6), keep(color, 0.0, 1.0), F.greatest(F.lit(0.0), F.least(F.coalesce(opacity, F.lit(1.0)), F.lit(1.0))), turn]
+
+
+def triangulated(a: Sequence[Column], b: Sequence[Column], rotation: Column, shift: Column) -> Column:
+    """The point, in the first camera's frame, nearest to the rays through two normalised pixels; null for parallel rays.
+
+    The second camera sees x as rotation * x + shift; ``rotation`` is an array of
+    rows.  The rays are met at the middle of their common perpendicular.
+    """
+    ray = [a[0], a[1], F.lit(1.0)]
+    other = [b[0], b[1], F.lit(1.0)]
+    dot = lambda x, y: x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+    turned = [sum(rotation[j][i] * other[j] for j in range(3)) for i in range(3)]
+    centre = [-sum(rotation[j][i] * shift[j] for j in range(3)) for i in range(3)]
+    aa, bb, ab = dot(ray, ray), dot(turned, turned), dot(ray, turned)
+    ac, bc = dot(ray, centre), dot(turned, centre)
+    det = aa * bb - ab * ab
+    s, t = (ac * bb - bc * ab) / det, (ac * ab - bc * aa) / det
+    point = F.array(*[(s * ray[i] + centre[i] + t * turned[i]) / 2 for i in range(3)])
+    return F.when(F.abs(det) > 1e-12 * aa * bb, point)
+
+
+def pixel_map_problem(pixels: Column, width: Column, height: Column) -> Column:
+    """The first frame of a map of frame to pixel whose pixel is not a finite pair inside its frame, null if all are."""
+    inside = lambda p, w, h: (F.size(p) == 2) & ~F.isnan(p[0]) & ~F.isnan(p[1]) & (p[0] >= 0) & (p[0] < w) & (p[1] >= 0) & (p[1] < h)
+    ok = lambda e: F.coalesce(inside(e["value"], F.try_element_at(width, e["key"]), F.try_element_at(height, e["key"])), F.lit(False))
+    return F.array_min(F.transform(F.filter(F.map_entries(pixels), lambda e: ~ok(e)), lambda e: e["key"]))

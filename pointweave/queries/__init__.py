@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import association, binding, editing, gates, geometry, hierarchy, metrics, planning
+from . import admission, association, binding, editing, gates, geometry, hierarchy, metrics, planning
 from .common import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (geometry, association, hierarchy, binding, editing, metrics, planning, gates):
+for _module in (geometry, association, hierarchy, binding, editing, metrics, planning, gates, admission):
     QUERIES |= _module.QUERIES

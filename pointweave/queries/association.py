@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..operators import association as a
+from ..operators import retrieval
 from .common import SIGHTINGS, collector, r6, sightings, table
 
 QUERIES, query = collector()
@@ -130,34 +131,34 @@ def owner_choice(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT user_id AS query, event_type AS label, 'i' || (ascii(event_type) % 3) AS identity, round((value % 10) / 10, 3) AS p FROM events WHERE event_id % 7 = 0),
+WITH t AS (SELECT user_id AS query, event_type AS label, 'i' || (ascii(event_type) % 3) AS identity, round((value % 10) / 10, 3) AS p FROM events),
 ph AS (SELECT query, identity, label, round(avg(p), 9) AS score FROM t GROUP BY ALL),
 id AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, identity ORDER BY score DESC, label) AS r FROM ph) WHERE r = 1),
 rk AS (SELECT query, label, score, score - lead(score) OVER w AS lead, row_number() OVER w AS r FROM id WINDOW w AS (PARTITION BY query ORDER BY score DESC, label))
 SELECT query, label, round(score, 6) AS score, CASE WHEN score < 0.2 THEN 'rejected' WHEN coalesce(lead < 0.025 OR lead = 0, false) THEN 'ambiguous' ELSE 'accepted' END AS status FROM rk WHERE r = 1""")
 def query_label_alignment(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 7 = 0")
+    e = table(spark, sf, "events")
     tokens = e.select(F.col("user_id").alias("query"), F.col("event_type").alias("label"), F.concat(F.lit("i"), (F.ascii("event_type") % 3).cast("string")).alias("identity"), F.lit(0).alias("token"), F.round(F.col("value") % 10 / 10, 3).alias("p"))
     means = tokens.groupBy("query", "label", "identity").agg(F.round(F.avg("p"), 9).alias("p"))
     return a.align_queries(means).select("query", "label", r6("score").alias("score"), "status")
 
 
 @query("""
-WITH base AS (SELECT DISTINCT l_suppkey % 40 AS m, l_partkey % 500 AS point FROM lineitem WHERE l_linenumber <= 2),
-s AS (SELECT 'm' || lpad(m::VARCHAR, 2, '0') AS mask, point FROM base),
-meta AS (SELECT DISTINCT 'm' || lpad(m::VARCHAR, 2, '0') AS mask, m % 8 AS frame, CASE WHEN m % 2 = 0 THEN 'object' ELSE 'part' END AS level, 'l' || m % 3 AS label, CASE WHEN m % 5 = 0 THEN 'o' || m % 4 END AS object_id FROM base),
+WITH base AS (SELECT DISTINCT l_suppkey AS m, (l_shipdate::DATE - DATE '1992-01-01')::BIGINT AS point FROM lineitem),
+s AS (SELECT 'm' || lpad(m::VARCHAR, 6, '0') AS mask, point FROM base),
+meta AS (SELECT DISTINCT 'm' || lpad(m::VARCHAR, 6, '0') AS mask, m % 8 AS frame, CASE WHEN m % 2 = 0 THEN 'object' ELSE 'part' END AS level, 'l' || m % 3 AS label, CASE WHEN m % 5 = 0 THEN 'o' || m % 4 END AS object_id FROM base),
 n AS (SELECT mask, count(*) AS size FROM s GROUP BY mask),
 sh AS (SELECT p.mask AS a, q.mask AS b, count(*) AS shared FROM s p JOIN s q ON p.point = q.point AND p.mask < q.mask GROUP BY ALL),
 pair AS (SELECT x.mask AS a, y.mask AS b, x.object_id AS ia, y.object_id AS ib, x.frame <> y.frame AS apart, x.label = y.label AS alike, u.size AS na, v.size AS nb FROM meta x JOIN meta y ON x.mask < y.mask AND x.level = y.level JOIN n u ON u.mask = x.mask JOIN n v ON v.mask = y.mask)
 SELECT a, b, coalesce(shared, 0) AS shared, CASE WHEN ia = ib THEN 2.0 ELSE round(shared / least(na, nb), 6) END::DOUBLE AS score FROM pair LEFT JOIN sh USING (a, b)
-WHERE coalesce(ia = ib, false) OR ((ia IS NULL OR ib IS NULL) AND apart AND alike AND shared >= 3 AND shared / least(na, nb) >= 0.35)""")
+WHERE coalesce(ia = ib, false) OR ((ia IS NULL OR ib IS NULL) AND apart AND alike AND shared >= 3 AND shared / least(na, nb) >= 0.25)""")
 def mask_links(spark, sf):
-    base = table(spark, sf, "lineitem").where("l_linenumber <= 2").select((F.col("l_suppkey") % 40).alias("m"), (F.col("l_partkey") % 500).alias("point")).distinct()
+    base = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("m"), F.datediff("l_shipdate", F.lit("1992-01-01")).cast("long").alias("point")).distinct()
     m = F.col("m")
-    name = F.concat(F.lit("m"), F.lpad(m.cast("string"), 2, "0"))
+    name = F.concat(F.lit("m"), F.lpad(m.cast("string"), 6, "0"))
     text = lambda p, k: F.concat(F.lit(p), (m % k).cast("string"))
     masks = base.select(name.alias("mask"), (m % 8).alias("frame"), F.when(m % 2 == 0, "object").otherwise("part").alias("level"), text("l", 3).alias("label"), F.when(m % 5 == 0, text("o", 4)).alias("object_id")).distinct()
-    return a.mask_links(base.select(name.alias("mask"), "point"), masks).select("a", "b", "shared", r6("score").alias("score"))
+    return a.mask_links(base.select(name.alias("mask"), "point"), masks, 0.25).select("a", "b", "shared", r6("score").alias("score"))
 
 
 @query()
@@ -191,15 +192,10 @@ SELECT f.q AS a, f.t AS b FROM good f JOIN good g ON f.q = g.t AND f.t = g.q WHE
 
 @query(KNN)
 def ratio_test_matches(spark, sf):
-    from pyspark.sql import Window
-
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    d = F.sqrt(F.aggregate(F.zip_with("q.embedding", "t.embedding", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
     pairs = e.alias("q").join(e.alias("t"), (F.col("q.label") == F.col("t.label")) & (F.col("q.vec_id") % 2 != F.col("t.vec_id") % 2))
-    pairs = pairs.select(F.col("q.vec_id").alias("q"), F.col("t.vec_id").alias("t"), d.alias("d"))
-    w = Window.partitionBy("q").orderBy("d", "t")
-    good = pairs.withColumns({"nxt": F.lead("d").over(w), "r": F.row_number().over(w)}).where("r = 1 AND d < 0.95 * nxt").select("q", "t")
-    return good.alias("f").join(good.alias("g"), (F.col("f.q") == F.col("g.t")) & (F.col("f.t") == F.col("g.q"))).where("f.q % 2 = 0").select(F.col("f.q").alias("a"), F.col("f.t").alias("b"))
+    far = F.sqrt(retrieval.squared_distance(F.col("q.embedding"), F.col("t.embedding")))
+    return retrieval.ratio_matches(pairs.select((F.col("q.vec_id") % 2).alias("side"), F.col("q.vec_id").alias("q"), F.col("t.vec_id").alias("t"), far.alias("d")), 0.95)
 
 
 @query("""
@@ -207,11 +203,4 @@ WITH i AS (SELECT doc_id AS i, row_number() OVER (ORDER BY doc_id) - 1 AS o, cou
 anchors AS (SELECT i, o FROM i WHERE o IN (SELECT floor(k * (n - 1)::DOUBLE / 11)::BIGINT FROM range(12) t(k), (SELECT any_value(n) AS n FROM i)))
 SELECT DISTINCT least(a.i, b.i) AS i, greatest(a.i, b.i) AS j FROM i a JOIN i b ON b.o - a.o IN (1, 2) UNION SELECT a.i, b.i FROM anchors a JOIN anchors b ON a.o < b.o""")
 def candidate_view_pairs(spark, sf):
-    from ..operators.ordering import evenly, with_ordinal
-
-    docs = with_ordinal(table(spark, sf, "documents").select(F.col("doc_id").alias("i")), ["i"], total="n")
-    near = docs.withColumn("next", F.explode(F.array(F.col("ordinal") + 1, F.col("ordinal") + 2)))
-    chain = near.alias("a").join(docs.alias("b"), F.col("a.next") == F.col("b.ordinal")).select(F.col("a.i").alias("i"), F.col("b.i").alias("j"))
-    anchors = docs.where(evenly(F.col("ordinal"), F.col("n"), 12, "floor")).limit(12)
-    both = anchors.alias("a").join(F.broadcast(anchors).alias("b"), F.col("a.ordinal") < F.col("b.ordinal")).select(F.col("a.i").alias("i"), F.col("b.i").alias("j"))
-    return chain.union(both).distinct()
+    return retrieval.capture_pairs(table(spark, sf, "documents"), "doc_id")

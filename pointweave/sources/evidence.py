@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import staged_output
+
 #: Parameters of the camera models of a binary reconstruction.
 CAMERA_PARAMETERS = {0: 3, 1: 4, 2: 4, 3: 5, 4: 8, 5: 8, 6: 12, 7: 5, 8: 4, 9: 5, 10: 12}
 FEWEST_PHOTOS, MOST_PHOTOS = 2, 300
@@ -112,27 +114,27 @@ def read_model(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{folder}/{kind}.bin").select("content").mapInPandas(rows, schema)
 
 
-def write_model(cameras: list[tuple], images: list[tuple], points: Iterator[tuple], folder: str) -> None:
-    """The three binary files.  Images come with [(x, y, point_id)], points with their track [(image_id, index)]; points are streamed."""
-    with open(f"{folder}/cameras.bin", "wb") as f:
+def write_model(cameras: list[tuple], images: list[tuple], points: Iterator[tuple], count: int, folder: str) -> None:
+    """The three binary files.  Images come with [(x, y, point_id)], the ``count`` points with their track [(image_id, index)]; points are streamed."""
+    with staged_output(f"{folder}/cameras.bin") as f:
         f.write(struct.pack("<Q", len(cameras)))
         for camera, model, width, height, params in cameras:
             f.write(struct.pack(f"<iiQQ{len(params)}d", camera, model, width, height, *params))
-    with open(f"{folder}/images.bin", "wb") as f:
+    with staged_output(f"{folder}/images.bin") as f:
         f.write(struct.pack("<Q", len(images)))
         for image, camera, name, rotation, translation, seen in images:
             f.write(struct.pack("<i7di", image, *rotation, *translation, camera) + name.encode() + b"\0" + struct.pack("<Q", len(seen)))
             for x, y, point in seen:
                 f.write(struct.pack("<ddq", x, y, point))
-    with open(f"{folder}/points3D.bin", "wb") as f:
-        f.write(struct.pack("<Q", 0))
-        n = 0
+    with staged_output(f"{folder}/points3D.bin") as f:
+        f.write(struct.pack("<Q", count))
+        written = 0
         for point, position, color, error, track in points:
             f.write(struct.pack("<Q3d3BdQ", point, *position, *color, error, len(track)))
             f.write(struct.pack(f"<{2 * len(track)}i", *[x for pair in track for x in pair]))
-            n += 1
-        f.seek(0)
-        f.write(struct.pack("<Q", n))
+            written += 1
+        if written != count:
+            raise ValueError(f"{written} points came of {count}")
 
 
 def photo_inventory(spark: SparkSession, pattern: str) -> DataFrame:

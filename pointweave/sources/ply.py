@@ -18,7 +18,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.numeric import SH_0, base_color, logit, norm, resize_harmonics, sigmoid
+from ..operators.ordering import evenly
 from ..operators.validation import MOST_POINTS
+from .files import open_input, staged_output
 
 #: The format's scalar types and the point properties that must be there.
 TYPES = {"float": "f4", "float32": "f4", "double": "f8", "float64": "f8", "uchar": "u1", "uint8": "u1", "char": "i1", "int8": "i1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4"}
@@ -75,7 +77,7 @@ def parse_header(raw: bytes) -> Header:
 
 def describe(path: str) -> Header:
     """The checked header of a point file; only its first bytes are read."""
-    with open(path, "rb") as f:
+    with open_input(path) as f:
         header = parse_header(f.read(HEADER_BYTES))
     names = {name for name, _ in header.properties}
     missing = [name for name in REQUIRED if name not in names]
@@ -108,7 +110,7 @@ class PlyReader(DataSourceReader):
 
     def read(self, partition: VertexRange) -> Iterator[pa.RecordBatch]:
         h, names = self.header, [n for n, _ in self.header.properties]
-        with open(self.path, "rb") as f:
+        with open_input(self.path) as f:
             f.seek(h.size)
             if h.format == "ascii":
                 for _ in range(partition.start):
@@ -172,6 +174,14 @@ def read_points(spark: SparkSession, path: str, harmonics: bool = True, **option
     return activate(read_raw(spark, path, **options), harmonics)
 
 
+def read_preview(spark: SparkSession, path: str, most: int | None = None, harmonics: bool = True, **options: str) -> DataFrame:
+    """Points of a file, evenly spaced ones alone if it has more than ``most``; source_index keeps each one's place in the file."""
+    raw = read_raw(spark, path, **options)
+    if most is not None:
+        raw = raw.where(evenly(F.col("source_index"), F.lit(describe(path).count), most, "truncate"))
+    return activate(raw, harmonics)
+
+
 def properties(degree: int) -> list[str]:
     """The properties of a written file, in order."""
     rest = 3 * ((degree + 1) ** 2 - 1)
@@ -200,9 +210,6 @@ def write_points(points: DataFrame, path: str, degree: int = 3) -> int:
 
     Non-finite values are refused before anything is written.  Returns the count.
     """
-    import os
-    import uuid
-
     rows = deactivate(points, degree).orderBy("source_index")
     names = properties(degree)
     bad = F.lit(False)
@@ -211,12 +218,9 @@ def write_points(points: DataFrame, path: str, degree: int = 3) -> int:
     if not rows.where(bad).isEmpty():
         raise ValueError("points have non-finite values")
     count = rows.count()
-    pending = f"{path}.{uuid.uuid4().hex}.partial"
-    with open(pending, "w", encoding="ascii") as f:
-        f.write(f"ply\nformat ascii 1.0\nelement vertex {count}\n" + "".join(f"property float {n}\n" for n in names) + "end_header\n")
+    with staged_output(path) as f:
+        head = f"ply\nformat ascii 1.0\nelement vertex {count}\n" + "".join(f"property float {n}\n" for n in names) + "end_header\n"
+        f.write(head.encode("ascii"))
         for row in rows.select(*names).toLocalIterator(prefetchPartitions=True):
-            f.write(" ".join(f"{v:.9g}" for v in row) + "\n")
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(pending, path)
+            f.write((" ".join(f"{v:.9g}" for v in row) + "\n").encode("ascii"))
     return count

@@ -9,7 +9,6 @@ of a DataFrame.
 from __future__ import annotations
 
 import json
-import os
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import with_ordinal
 from ..operators.validation import MOST_JSONL_BYTES, MOST_LINE_BYTES, MOST_POINTS
+from .files import make_folder, open_input, size_of, staged_output
 
 LINES, CHUNK, MANIFEST = "pointweave-lines/1", "pointweave-chunk/1", "pointweave-manifest/1"
 CHUNK_ROWS = 25_000
@@ -62,22 +62,20 @@ def chunk_lines(points: DataFrame, size: int = CHUNK_ROWS, chunk_format: str = C
 def write_lines(points: DataFrame, header: dict, path: str, size: int = CHUNK_ROWS, lines_format: str = LINES, chunk_format: str = CHUNK) -> int:
     """One lines file; chunks pass the driver one partition at a time.  Returns the number of points."""
     count = points.count()
-    pending = f"{path}.{uuid.uuid4().hex}.partial"
     lines = chunk_lines(points, size, chunk_format).orderBy("offset")
-    with open(pending, "w", encoding="utf-8") as f:
-        f.write(json.dumps({"format": lines_format, "gaussian_count": count, "scene": header}, ensure_ascii=False, allow_nan=False) + "\n")
+    with staged_output(path) as f:
+        f.write((json.dumps({"format": lines_format, "gaussian_count": count, "scene": header}, ensure_ascii=False, allow_nan=False) + "\n").encode())
         for row in lines.toLocalIterator(prefetchPartitions=True):
-            f.write(row["line"] + "\n")
-    os.replace(pending, path)
+            f.write((row["line"] + "\n").encode())
     return count
 
 
 def check_lines_file(path: str) -> None:
     """Size and the final newline, before Spark reads the file."""
-    size = os.stat(path).st_size
+    size = size_of(path)
     if size > MOST_JSONL_BYTES:
         raise ValueError("the file is too large")
-    with open(path, "rb") as f:
+    with open_input(path) as f:
         f.seek(max(0, size - 1))
         if f.read(1) != b"\n":
             raise ValueError("the last line is incomplete")
@@ -117,6 +115,21 @@ def read_lines(spark: SparkSession, path: str, lines_format: str = LINES, chunk_
     return _points(chunks, shape["total"])
 
 
+def stream_lines(spark: SparkSession, folder: str, chunk_format: str = CHUNK, files_a_batch: int = 1) -> DataFrame:
+    """Points of line files as they arrive in a folder: (ordinal, point fields), chunk by chunk in a batch's order.
+
+    What a whole file's check needs, its header and its end, is ``read_lines``'s;
+    here each chunk is checked alone, and a line too long or a chunk whose count
+    is not its rows fails the stream.  The query's progress says how far it is.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(folder)
+    chunks = parsed_lines(lines).where(F.col("format") == chunk_format)
+    wrong = F.coalesce((F.col("size") > MOST_LINE_BYTES) | (F.size("gaussians") != F.col("count")) | (F.col("offset") < 0), F.lit(True))
+    # Filters may be reordered, so a line of another format must not reach the error either.
+    rows = F.when((F.col("format") == chunk_format) & wrong, F.raise_error(F.lit("a chunk is invalid"))).otherwise(F.col("gaussians"))
+    return chunks.withColumn("gaussians", rows.cast(chunks.schema["gaussians"].dataType)).select("offset", F.posexplode("gaussians").alias("pos", "g")).select((F.col("offset") + F.col("pos")).alias("ordinal"), "g.*")
+
+
 def _points(chunks: DataFrame, total: int) -> DataFrame:
     found = chunk_problems(chunks.select("offset", "count", F.size("gaussians").alias("held")), total).first()
     if found is not None or chunks.isEmpty():
@@ -134,32 +147,28 @@ def write_manifest(points: DataFrame, header: dict, folder: str, name: str = "sc
     if count <= threshold:
         return None
     data = f"{name}.data-{uuid.uuid4().hex}"
-    os.makedirs(os.path.join(folder, data))
+    make_folder(posixpath.join(folder, data))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             paths = []
             for chunk, offset, n, rows in zip(pdf["chunk"], pdf["offset"], pdf["count"], pdf["rows"]):
                 path = posixpath.join(data, f"chunk-{chunk:06d}.json")
-                pending = os.path.join(folder, f"{path}.{uuid.uuid4().hex}.partial")
-                with open(pending, "w", encoding="utf-8") as f:
-                    f.write(f'{{"format":{json.dumps(CHUNK)},"offset":{offset},"count":{n},"gaussians":[{",".join(rows)}]}}')
-                os.replace(pending, os.path.join(folder, path))
+                with staged_output(posixpath.join(folder, path)) as f:
+                    f.write(f'{{"format":{json.dumps(CHUNK)},"offset":{offset},"count":{n},"gaussians":[{",".join(rows)}]}}'.encode())
                 paths.append(path)
             yield pd.DataFrame({"path": paths, "offset": pdf["offset"], "count": pdf["count"]})
 
     chunks = [r.asDict() for r in chunked(points, size).mapInPandas(write, "path string, offset bigint, count bigint").orderBy("offset").toLocalIterator()]
-    target = os.path.join(folder, f"{name}.manifest.json")
-    pending = f"{target}.{uuid.uuid4().hex}.partial"
-    with open(pending, "w", encoding="utf-8") as f:
-        json.dump({"format": MANIFEST, "gaussian_count": count, "chunk_size": size, "chunks": chunks, "scene": header}, f, ensure_ascii=False, allow_nan=False)
-    os.replace(pending, target)
+    target = posixpath.join(folder, f"{name}.manifest.json")
+    with staged_output(target) as f:
+        f.write(json.dumps({"format": MANIFEST, "gaussian_count": count, "chunk_size": size, "chunks": chunks, "scene": header}, ensure_ascii=False, allow_nan=False).encode())
     return target
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The points of a manifest's chunks with ``ordinal``; the whole manifest is checked before any chunk is opened."""
-    with open(path, encoding="utf-8") as f:
+    with open_input(path) as f:
         manifest = json.load(f)
     chunks, total = manifest.get("chunks"), manifest.get("gaussian_count")
     if manifest.get("format") != MANIFEST or not isinstance(chunks, list) or not chunks or not isinstance(total, int) or total > MOST_POINTS:
@@ -172,8 +181,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
         at += c["count"]
     if at != total:
         raise ValueError("the chunks do not add up")
-    root = os.path.dirname(os.path.abspath(path))
-    lines = spark.read.text([os.path.join(root, c["path"]) for c in chunks], wholetext=True)
+    root = posixpath.dirname(path)
+    lines = spark.read.text([posixpath.join(root, c["path"]) for c in chunks], wholetext=True)
     return _points(parsed_lines(lines).where(F.col("format") == CHUNK), total)
 
 

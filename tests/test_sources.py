@@ -109,7 +109,9 @@ def test_masks_and_regions(spark):
 
 def test_model_files(spark, tmp_path):
     points3d = [(k, [k * 1.0, 2.0, 3.0], [1, 2, 3], 0.5 + k, [(1, 0), (2, k)]) for k in range(3)]
-    evidence.write_model([(1, 1, 640, 480, [500.0, 500.0, 320.0, 240.0])], [(1, 1, "ä.png", [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 1.0], [(1.0, 2.0, 7), (3.0, 4.0, -1)])], iter(points3d), str(tmp_path))
+    evidence.write_model([(1, 1, 640, 480, [500.0, 500.0, 320.0, 240.0])], [(1, 1, "ä.png", [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 1.0], [(1.0, 2.0, 7), (3.0, 4.0, -1)])], iter(points3d), 3, str(tmp_path))
+    with pytest.raises(ValueError, match="3 points"):
+        evidence.write_model([], [], iter(points3d), 4, str(tmp_path.parent))
     assert evidence.read_model(spark, str(tmp_path), "cameras").first()["params"] == [500.0, 500.0, 320.0, 240.0]
     image = evidence.read_model(spark, str(tmp_path), "images").first()
     assert (image["name"], image["points"]) == ("ä.png", 2)
