@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from ..functions import text as t
 from ..operators import admission as a
-from ..operators import relations, retrieval
+from ..operators import ordering, relations, retrieval, validation
+from ..operators import reviews as v
 from ..sources import packages
 from .common import collector, table
 
@@ -360,9 +361,9 @@ def label_priors(spark, sf):
     return relations.label_priors(members, labels, t.normalize_ascii_label).withColumn("p", F.round("p", 6))
 
 
-@query("SELECT DISTINCT p_type AS label FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size > 40)")
+@query("SELECT DISTINCT p_name AS label FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 40)")
 def empty_labels(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_type").alias("label"), (F.col("p_size") > 40).alias("on"))
+    p = table(spark, sf, "part").select(F.col("p_name").alias("label"), (F.col("p_size") > 40).alias("on"))
     return relations.empty_labels(p, p)
 
 
@@ -436,3 +437,94 @@ def report_texts(spark, sf):
     body = F.concat(F.lit('{"n": '), i.cast("string"), F.lit("}"))
     raw = F.when(i % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("["), i.cast("string"), F.lit("]")))
     return table(spark, sf, "documents").select("doc_id", t.fenced_json(raw).alias("held"), t.percent(F.when(n % 2 == 0, n % 1000 / 1000.0)).alias("share"))
+
+
+@query("SELECT d.doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents) d WHERE o % 8 = 0 OR doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def held_out_and_annotated(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    marked = table(spark, sf, "labels").where("quality = 0").select("doc_id", F.lit(True).alias("marked"))
+    return ordering.every_nth(d.join(marked, "doc_id", "left"), ["doc_id"], also=F.col("marked")).select("doc_id")
+
+
+@query("SELECT doc_id AS name, CASE WHEN doc_id % 5 = 0 THEN 'changed' WHEN doc_id % 7 = 0 THEN 'missing' END AS problem FROM documents WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0 OR doc_id % 7 = 0 AND doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'missing' FROM documents WHERE doc_id % 35 = 0")
+def review_images(spark, sf):
+    d, i = table(spark, sf, "documents"), F.col("doc_id")
+    path = F.concat(F.lit("/data/a/"), i.cast("string"))
+    stored = v.image_identity(d.select(path.alias("path"), F.sha2("text", 256).alias("sha256")))
+    now = v.image_identity(d.where(i % 7 != 0).select(path.alias("path"), F.sha2(F.when(i % 5 == 0, "x").otherwise(F.col("text")), 256).alias("sha256")))
+    return v.review_problems(stored, now).withColumn("name", F.col("name").cast("long"))
+
+
+@query("SELECT o_orderkey AS id, 'http://h/' || o_custkey || '.png' AS url FROM orders")
+def public_rows(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("/srv/x/"), F.col("o_custkey").cast("string"), F.lit(".png")).alias("path"), F.lit("/srv").alias("folder"))
+    return v.public_columns(o, F.lit("http://h"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'right_alone' WHEN vec_id % 3 = 0 THEN 'left_alone' ELSE 'value' END AS problem FROM embeddings WHERE (vec_id % 5 = 0) <> (vec_id % 3 = 0) OR (vec_id % 5 <> 0 AND vec_id % 3 <> 0 AND vec_id % 11 = 0)")
+def pixel_proof(spark, sf):
+    e, i = table(spark, sf, "embeddings"), F.col("vec_id")
+    return v.pixel_differences(e.where(i % 5 != 0).select(i, F.col("label").alias("value")), e.where(i % 3 != 0).select(i, F.when(i % 11 != 0, F.col("label")).alias("value")), "vec_id")
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE - 1, 6) + 0.0 AS x, round(embedding[3]::DOUBLE - 3, 6) + 0.0 AS y, round(-(embedding[2]::DOUBLE - 2), 6) + 0.0 AS z FROM embeddings")
+def world_points(spark, sf):
+    e = table(spark, sf, "embeddings")
+    point = F.array(*[F.get("embedding", F.lit(i)).cast("double") for i in range(3)])
+    turn = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in ((1, 0, 0), (0, 0, -1), (0, 1, 0))])
+    placed = e.select("vec_id", v.to_world(point, turn, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).alias("p"))
+    return placed.select("vec_id", *[(F.round(F.col("p")[i], 6) + 0.0).alias(c) for i, c in enumerate("xyz")])
+
+
+@query("""
+WITH k AS (SELECT o_orderkey AS keypoint, o_custkey % 10 AS image, (o_orderkey % 97) * 1.5::DOUBLE AS x, (o_orderkey % 89) * 1.5::DOUBLE AS y FROM orders), t AS (SELECT c_custkey AS point, c_custkey % 10 AS image, (c_custkey % 53) * 2.7::DOUBLE AS x, (c_custkey % 47) * 2.9::DOUBLE AS y FROM customer),
+b AS (SELECT k.image, keypoint, point, sqrt((k.x - t.x) * (k.x - t.x) + (k.y - t.y) * (k.y - t.y)) AS d FROM k JOIN t ON k.image = t.image AND abs(k.x - t.x) <= 2 AND abs(k.y - t.y) <= 2),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, keypoint ORDER BY d, point) AS r FROM b WHERE d <= 2) WHERE r = 1)
+SELECT image, keypoint, point, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY image, point ORDER BY d, keypoint) AS q FROM n) WHERE q <= 4""")
+def assigned_keypoints(spark, sf):
+    k = table(spark, sf, "orders").select((F.col("o_custkey") % 10).alias("image"), F.col("o_orderkey").alias("keypoint"), (F.col("o_orderkey") % 97 * 1.5).alias("x"), (F.col("o_orderkey") % 89 * 1.5).alias("y"))
+    t_ = table(spark, sf, "customer").select((F.col("c_custkey") % 10).alias("image"), F.col("c_custkey").alias("point"), (F.col("c_custkey") % 53 * 2.7).alias("x"), (F.col("c_custkey") % 47 * 2.9).alias("y"))
+    return v.assign_keypoints(k, t_).withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT l_orderkey AS pixel, CASE WHEN l_linenumber < 3 THEN 'a' ELSE 'b' END AS label, max(l_discount)::DOUBLE AS score, max(l_discount) >= 0.05 AS on FROM lineitem WHERE l_linenumber < 6 GROUP BY ALL")
+def category_masks(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pixel"), F.col("l_linenumber").cast("long").alias("class"), F.col("l_discount").cast("double").alias("score"))
+    columns = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4), ("b", 5)], "label string, class long")
+    return v.category_masks(x, columns, "pixel", least=0.05)
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS point_id, max((l_partkey % 3 = 0)::INT) OVER (PARTITION BY l_orderkey * 10 + l_linenumber)::DOUBLE AS member FROM lineitem")
+def member_samples(spark, sf):
+    x = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), "l_partkey")
+    return v.member_samples(x.select("point_id"), x.where("l_partkey % 3 = 0"))
+
+
+@query("SELECT o_orderpriority AS pass, count(*) AS images, sum(o_orderkey % 100)::BIGINT AS total, max(o_orderkey % 100) AS slowest, sum(o_custkey % 4)::BIGINT AS masks FROM orders GROUP BY 1")
+def pass_latency(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("pass"), (F.col("o_orderkey") % 100).alias("seconds"), (F.col("o_custkey") % 4).alias("masks"))
+    return v.pass_latency(o)
+
+
+@query("""
+WITH o AS (SELECT c_custkey AS source_index, row_number() OVER (ORDER BY c_custkey) - 1 AS o, count(*) OVER () AS n FROM customer), k AS (SELECT CASE WHEN i = 39 THEN (SELECT any_value(n) FROM o) - 1 ELSE floor(i * (((SELECT any_value(n) FROM o) - 1)::DOUBLE / 39))::BIGINT END AS o FROM range(40) t(i)),
+c AS (SELECT o_custkey AS source_index, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS classes FROM orders GROUP BY 1)
+SELECT source_index, coalesce(classes, '') AS classes FROM o JOIN k USING (o) LEFT JOIN c USING (source_index)""")
+def preview_classes(spark, sf):
+    points = table(spark, sf, "customer").select(F.col("c_custkey").alias("source_index"))
+    members = table(spark, sf, "orders").select(F.col("o_custkey").alias("source_index"), F.col("o_orderpriority").alias("class"))
+    return v.preview_with_classes(points, members, 40).select("source_index", F.array_join("classes", ",").alias("classes"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'size' WHEN greatest((p_size % 10 - 0.5) / 100, (4 - 0.5) / 80) > least((p_size % 10 + 0.5) / 100, (4 + 0.5) / 80) THEN 'aspect' END AS problem FROM part")
+def mask_aspects(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", v.full_frame_problem(F.col("p_size") % 10, F.lit(4), F.lit(100), F.lit(80)).alias("problem"))
+
+
+@query("SELECT o_orderkey AS mask, CASE WHEN o_orderkey % 5 = 0 THEN 'label' WHEN o_orderpriority = '1-URGENT' THEN 'level' WHEN o_orderkey % 11 > 9 THEN 'confidence' WHEN o_orderkey % 3 = 0 THEN 'hash' END AS rule FROM orders WHERE o_orderkey % 5 = 0 OR o_orderpriority = '1-URGENT' OR o_orderkey % 11 > 9 OR o_orderkey % 3 = 0")
+def mask_upload(spark, sf):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(k.alias("mask"), F.when(k % 5 == 0, " ").otherwise("chair").alias("label"), F.when(F.col("o_orderpriority") == "1-URGENT", "none").otherwise("part").alias("level"), (k % 11 / 9.0).alias("confidence"), F.when(k % 3 == 0, "ff").when(k % 3 == 1, F.sha2("o_orderstatus", 256)).alias("source_image_sha256"))
+    order = F.create_map(*[F.lit(x) for i, n in enumerate(validation.mask_rules()) for x in (n, i)])
+    found = validation.broken(rows, validation.mask_rules(), "mask").groupBy("mask").agg(F.min_by("rule", order[F.col("rule")]).alias("rule"))
+    return found

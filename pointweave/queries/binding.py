@@ -148,12 +148,12 @@ def uncovered_labels(spark, sf):
     return b.uncovered(p.where("p_size < 10"), p.where("p_size > 45"))
 
 
-PAIRS = "(SELECT DISTINCT l_partkey AS a, l_orderkey * 50 + l_quantity::BIGINT AS b FROM lineitem)"
+PAIRS = "(SELECT DISTINCT l_orderkey AS a, l_partkey * 1000000 + l_suppkey AS b FROM lineitem)"
 
 
 @query(f"WITH p AS (SELECT * FROM {PAIRS}), c AS (SELECT *, count(*) OVER (PARTITION BY a) AS x, count(*) OVER (PARTITION BY b) AS y FROM p) SELECT a, b FROM c WHERE x = 1 AND y = 1")
 def one_to_one_pairs(spark, sf):
-    p = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") * 50 + F.col("l_quantity").cast("long")).alias("b"))
+    p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("b"))
     return b.one_to_one(p)
 
 

@@ -223,3 +223,10 @@ class Export:
 
     def abort(self) -> None:
         self._system.delete(self._paths(self.staging), True)
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(frame, label, xs, ys) of annotation files, JSON objects of frame to a list of (label, polygon of [x, y])."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, array<struct<label: string, polygon: array<array<double>>>>>", {"mode": "FAILFAST"}).alias("m"))
+    marked = rows.select(F.explode("m").alias("frame", "marks")).select("frame", F.explode("marks").alias("a"))
+    return marked.select("frame", "a.label", F.transform("a.polygon", lambda p: p[0]).alias("xs"), F.transform("a.polygon", lambda p: p[1]).alias("ys"))

@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import random
 import zipfile
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import numeric
 from pointweave.functions import text as t
-from pointweave.operators import admission, relations, retrieval
+from pointweave.operators import admission, relations, retrieval, reviews
 from pointweave.sources import packages, ply, scene_files
+from pointweave.streaming import resume
 
 from .test_sources import points
 
@@ -201,3 +203,31 @@ def test_lines_arrive_as_a_stream(spark, tmp_path):
     run = scene_files.stream_lines(spark, str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state2")).trigger(availableNow=True).start()
     with pytest.raises(Exception, match="chunk is invalid"):
         run.awaitTermination(120)
+
+
+def test_hulls(spark):
+    rng = random.Random(2)
+    square = [("s", x, y) for x in (0.0, 1.0) for y in (0.0, 2.0)] + [("s", rng.random(), 2 * rng.random()) for _ in range(200)]
+    line = [("l", i / 7, i / 7) for i in range(8)]
+    turn = [("c", math.cos(k * 0.01), math.sin(k * 0.01)) for k in range(629)]
+    frame = spark.createDataFrame([*square, *line, *turn, ("n", None, 1.0)], "g string, u double, v double")
+    got = {r["g"]: r["area"] for r in reviews.hull_area(frame, "g").collect()}
+    assert got["s"] == pytest.approx(2.0) and got["l"] == pytest.approx(0.0) and got["c"] == pytest.approx(math.pi, rel=1e-3) and "n" not in got
+
+
+def test_streams_resume_with_their_settings_alone(spark, tmp_path):
+    root = str(tmp_path / "s")
+    first = resume.resume_folder(spark, root, {"a": 1, "b": [1, 2]})
+    assert resume.resume_folder(spark, root, {"b": [1, 2], "a": 1}) == first
+    with pytest.raises(ValueError, match="settings"):
+        resume.resume_folder(spark, root, {"a": 2})
+
+
+def test_anchors_and_annotations(spark, tmp_path):
+    rows = [("a", 1, 2, 0.5), ("a", 3, 4, 0.25), ("b", 1, 1, float("nan")), ("b", 1, 1, 2.0), ("c", 0, 0, -1.0)]
+    found = reviews.anchors_by_view(spark.createDataFrame(rows, "view string, px long, py long, inverse_depth double"), str(tmp_path / "anchors"))
+    assert sorted(map(tuple, found.collect())) == [("a", 2, 0.25, 0.5), ("b", 1, 2.0, 2.0)]
+    (tmp_path / "m.json").write_text(json.dumps({"f1": [{"label": "chair", "polygon": [[0, 0], [2, 0], [2, 2]]}], "f2": []}))
+    (row,) = packages.read_annotations(spark, str(tmp_path / "m.json")).collect()
+    assert tuple(row) == ("f1", "chair", [0.0, 2.0, 2.0], [0.0, 0.0, 2.0])
+    assert reviews.not_too_near(spark.createDataFrame([(1,), (2,)], "query_id long"), spark.createDataFrame([(1, 0.0001), (2, 0.5)], "query_id long, distance double"), 1.0).count() == 1
