@@ -1,13 +1,14 @@
-"""Exact top-k inner products over an impact-ordered index, scored segment by segment.
+"""Exact top-k inner products over an impact-ordered index, scored a segment at a time.
 
 Components are quantised to integers.  The index of a block of vectors holds its
-postings (vector, dimension, value) in segments of descending impact, the
-value's magnitude, with each vector's norm of what the later segments hold.  A
-block of queries adds one segment after the other to its accumulators.  What is
-still to come is bounded by the norms, so after each segment a vector is out for
-a query as soon as its upper bound is below the k-th best lower bound.  Scoring
-stops when few enough vectors are possible members, or nothing is to come; the
-possible members are then rescored exactly.
+postings (vector, dimension, value) in segments of descending impact: a segment
+is one power of two of the value's magnitude, and it knows each vector's norm of
+what the later segments hold.  A block of queries adds one segment after the
+other to its accumulators.  What is still to come is bounded by the norms, so
+after each segment a vector is out for a query as soon as its upper bound is
+below the k-th best lower bound.  Scoring stops when exact scores of all that is
+not out cost less than the postings to come, or none are to come; the vectors
+that are not out are then rescored exactly.
 """
 
 from __future__ import annotations
@@ -24,10 +25,6 @@ K = 20
 SCALE = 64
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
-#: Segments part at these quantiles of the block's magnitudes.
-SEGMENTS = (0.15, 0.0)
-#: Scoring stops when this share of a block's pairs is still possible.
-FEW = 0.02
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -47,26 +44,44 @@ def _exact_type(*matrices: np.ndarray):
 
 @dataclass
 class Segment:
-    """Postings of one range of impacts, the values (others zero), and the norm of later segments' values by vector."""
+    """Postings of one range of impacts, and by vector the norm of the values of later segments."""
 
-    values: np.ndarray
+    vector: np.ndarray
+    dimension: np.ndarray
+    value: np.ndarray
     next_norm: np.ndarray
 
+    def tile(self, shape: tuple[int, int], dtype) -> np.ndarray:
+        """The segment's values by dimension and vector, all others zero."""
+        out = np.zeros(shape[::-1], dtype)
+        out[self.dimension, self.vector] = self.value
+        return out
 
-def build_segments(vectors: np.ndarray, dtype) -> list[Segment]:
+
+def build_segments(vectors: np.ndarray) -> list[Segment]:
+    """Segments of descending impact; the last holds what is left, and zeros are in none."""
     impact = np.abs(vectors)
-    edges = sorted({int(np.quantile(impact, q)) if q else 0 for q in SEGMENTS}, reverse=True) if vectors.size else [0]
-    out, above = [], np.inf
-    for edge in edges:
-        here = (impact >= edge) & (impact < above)
-        rest = np.where(impact < edge, vectors, 0).astype(np.float64)
-        out.append(Segment(np.where(here, vectors, 0).astype(dtype), np.sqrt((rest**2).sum(1))))
-        above = edge
+    top = int(impact.max(initial=0)).bit_length()
+    out = []
+    for power in range(top - 1, -1, -1):
+        here = impact >> power == 1
+        if here.any():
+            rest = np.where(impact < 1 << power, vectors, 0).astype(np.float64)
+            at = np.nonzero(here)
+            out.append(Segment(*(x.astype(np.int32) for x in at), vectors[at], np.sqrt((rest**2).sum(1))))
     return out
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query, ids and scores of its best k among the block's vectors with another id; best first, ties by id."""
+@dataclass
+class Work:
+    """Postings of an index, and how many of them a search scored."""
+
+    postings: int = 0
+    scored: int = 0
+
+
+def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int = K, work: Work | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query, ids and scores of its best k among the block's rows with another id; best first, ties by id."""
     dtype = _exact_type(queries, vectors)
     real = np.float32 if dtype is np.float32 else np.float64
     asked = queries.astype(dtype)
@@ -74,8 +89,17 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     own = np.nonzero(query_ids[:, None] == ids[None, :])
     scores = np.zeros((len(queries), len(ids)), dtype)
     last = len(ids) - min(k, len(ids))
-    for segment in build_segments(vectors, dtype):
-        scores += asked @ segment.values.T
+    segments = build_segments(vectors)
+    to_come = sum(len(s.value) for s in segments)
+    if work is not None:
+        work.postings += to_come
+    possible = np.ones(scores.shape, bool)
+    possible[own] = False
+    for segment in segments:
+        scores += asked @ segment.tile(vectors.shape, dtype)
+        to_come -= len(segment.value)
+        if work is not None:
+            work.scored += len(segment.value)
         now = scores.astype(real, copy=False)
         # A thousandth and one more cover the rounding of norms and sums.
         slack = np.outer(norm, np.where(segment.next_norm > 0, 1.001 * segment.next_norm, 0)).astype(real, copy=False)
@@ -86,7 +110,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
         slack += now
         slack[own] = -np.inf
         possible = slack >= np.where(np.isfinite(least), least, -np.finfo(real).max)[:, None]
-        if not segment.next_norm.any() or possible.mean() <= FEW:
+        if np.count_nonzero(possible) * vectors.shape[1] <= to_come * len(queries):
             break
     for i in range(len(queries)):
         members = np.flatnonzero(possible[i])
@@ -103,42 +127,45 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, dim: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best other rows.
 
-    Vectors that are null, hold null or non-finite components or have another
-    size than ``dim``, and rows with a null id, take no part.  Rows that share an
-    id count as one row; of unlike vectors of one id the least stays.  A query
-    with fewer other rows gets them all.  Scores must fit a long; one that does
-    not is an error, never a wrapped number.
-
-    Vectors and queries are dealt into blocks by hashes of their ids; every pair
-    of blocks is one task's bounded work and returns k rows a query at most.
+    Vectors that are null or empty or hold null or non-finite components, and
+    rows with a null id, take no part; vectors of different sizes do not meet.
+    Every row whose id is not the query's is a candidate, repeated rows too, so an
+    id may be found more than once; rows alike in id and vector ask once, and an
+    id of several vectors gets the best of all of them.  A query with fewer other
+    rows gets them all.  Scores must fit a long; one that does not is an error,
+    never a wrapped number.  Other columns are not read; an empty table gives an
+    empty result.
+
+    Rows alike are counted first, so an id repeated very often is one row with a
+    count.  Vectors and queries are dealt into blocks by hashes of what they are;
+    every pair of blocks is one task's bounded work and returns k rows a query at
+    most.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") == dim))
-    n, asking = vectors.select(F.count("*"), F.count_if(is_query)).first()
+    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
+    size, n, asking = rows.agg(F.max(F.array_max(F.transform("v", F.abs))), F.count("*"), F.count_if("asks")).first()
+    kind = "smallint" if (size or 0) < 1 << 15 else "int" if size < 1 << 31 else "bigint"
+    rows = rows.groupBy("id", F.col("v").cast(f"array<{kind}>").alias("v")).agg(F.bool_or("asks").alias("asks"), F.count("*").alias("n"))
     blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asking // QUERY_ROWS))
-    deal = F.xxhash64("id")
-    index = rows.select("id", "v", F.pmod(deal, F.lit(blocks)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("h"))
-    asked = rows.where("asks").select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.pmod(F.shiftright(deal, 32), F.lit(query_blocks)).cast("int").alias("h"))
+    deal, dim = F.xxhash64("id", "v"), F.size("v").alias("dim")
+    index = rows.select("id", "v", dim, F.least("n", F.lit(k)).cast("int").alias("n"), F.pmod(deal, F.lit(blocks)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("h"))
+    asked = rows.where("asks").select("id", "v", dim, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.pmod(F.shiftright(deal, 32), F.lit(query_blocks)).cast("int").alias("h"))
     schema = pa.schema({"query_id": pa.int64(), "found": pa.list_(pa.int64()), "scores": pa.list_(pa.int64())})
 
-    def once(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, matrix = table.column("id").to_numpy(), _matrix(table.column("v"), dim)
-        order = np.lexsort((*matrix.T[::-1], ids))
-        ids, matrix = ids[order], matrix[order]
-        first = np.append(True, ids[1:] != ids[:-1]) if len(ids) else np.empty(0, bool)
-        return ids[first], matrix[first]
-
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        (ids, block), (query_ids, queries) = once(left), once(right)
-        if not len(ids) or not len(query_ids):
+        if not len(left) or not len(right):
             return schema.empty_table()
-        found = list(search_block(queries, query_ids, block, ids, k))
+        size = left.column("dim")[0].as_py()
+        ids, block, times = left.column("id").to_numpy(), _matrix(left.column("v"), size), left.column("n").to_numpy()
+        query_ids, queries = right.column("id").to_numpy(), _matrix(right.column("v"), size)
+        found = list(search_block(queries, query_ids, np.repeat(block, times, axis=0), np.repeat(ids, times), k))
         return pa.Table.from_arrays([pa.array(query_ids), pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([s for _, s in found], pa.list_(pa.int64()))], schema=schema)
 
-    parts = index.groupBy("g", "h").cogroup(asked.groupBy("g", "h")).applyInArrow(search, "query_id bigint, found array<bigint>, scores array<bigint>")
+    keys = ["dim", "g", "h"]
+    parts = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id bigint, found array<bigint>, scores array<bigint>")
     pairs = parts.select("query_id", F.explode(F.arrays_zip("found", "scores")).alias("x")).select("query_id", F.col("x.found").alias("vec_id"), F.col("x.scores").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
