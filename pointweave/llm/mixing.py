@@ -12,8 +12,12 @@ Rates become copies by rounding running sums of rates in descending order of
 size, so a source's words miss its target by half its largest document at most;
 correction rounds then move copies of the one size that lessens the miss most.
 
-Skew: every step but the first works on counts.  Rows meet their count by
-(source, size, salt), with enough salts that no key holds many rows.
+Sums of rates are exact decimals, so neither the tilts nor the copies depend on
+the order of partial sums.
+
+Skew: texts are read once, and every later step works on sizes and counts.  A
+cell (source, size) of more than ROWS_A_SALT documents is dealt by salts of a
+hash, as many as it needs; the few such cells alone have a table of salts.
 """
 
 from __future__ import annotations
@@ -67,6 +71,11 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MO
     return ranked.withColumn("share", level).select("source", "source_size", "weight", F.least("cap", F.col("weight") * F.col("share")).alias("target"))
 
 
+def _exact(c: Column) -> Column:
+    """A double as a decimal, for sums in any order."""
+    return c.cast("decimal(38,9)")
+
+
 def _rate(tilt: Column, x: Column, most: int) -> Column:
     return F.least(F.lit(float(most)), F.exp(F.least(F.lit(STEEPEST), F.greatest(F.lit(-STEEPEST), tilt * x))))
 
@@ -87,7 +96,7 @@ def tilts(counts: DataFrame, wanted: DataFrame, most: int = MOST) -> DataFrame:
         joined = sized.join(open_, F.col("s").eqNullSafe(F.col("source")))
         rate = _rate(F.col("tilt"), x, most)
         slope = F.when(rate < most, F.col("n") * F.col("size") * x * rate).otherwise(0.0)
-        sums = joined.groupBy("s").agg(F.sum(F.col("n") * F.col("size") * rate).alias("taken"), F.sum(slope).alias("slope"))
+        sums = joined.groupBy("s").agg(F.sum(_exact(F.col("n") * F.col("size") * rate)).cast("double").alias("taken"), F.sum(_exact(slope)).cast("double").alias("slope"))
         moved = open_.join(sums, F.col("source").eqNullSafe(F.col("s")))
         over = F.col("taken") > F.col("target")
         moved = moved.withColumn("high", F.when(over, F.col("tilt")).otherwise(F.col("high"))).withColumn("low", F.when(over, F.col("low")).otherwise(F.col("tilt")))
@@ -99,7 +108,8 @@ def tilts(counts: DataFrame, wanted: DataFrame, most: int = MOST) -> DataFrame:
         )
         inside = (step > F.col("low")) & (step < F.col("high"))
         moved = moved.withColumn("miss", F.abs(F.col("taken") - F.col("target")) / F.col("target"))
-        done = (F.col("miss") <= CLOSE) | (F.col("high") - F.col("low") <= 1e-14 * F.abs("high"))
+        closed = (F.col("low") > float("-inf")) & (F.col("high") < float("inf")) & (F.col("high") - F.col("low") <= 1e-14 * F.abs("high"))
+        done = (F.col("miss") <= CLOSE) | closed
         moved = moved.withColumn("next", F.when(done, F.col("tilt")).when(inside, step).otherwise(middle)).withColumn("miss", F.when(done, 0.0).otherwise(F.col("miss")))
         moved = moved.select("source", "source_size", "target", "mean", F.col("next").alias("tilt"), "low", "high", "miss")
         state = storage.materialise(moved.unionByName(state.where(F.col("miss") <= CLOSE)), "tilts")
@@ -114,10 +124,10 @@ def _rounded(rated: DataFrame, most: int) -> DataFrame:
     Copies are differences of rounded running sums.  A running sum over a source
     is the sum of its earlier blocks plus the running sum within the block.
     """
-    blocked = rated.withColumn("block", -F.floor(F.col("size") / BLOCK)).withColumn("mass", F.col("n") * F.col("rate"))
+    blocked = rated.withColumn("block", -F.floor(F.col("size") / BLOCK)).withColumn("mass", _exact(F.col("n") * F.col("rate")))
     blocks = blocked.groupBy("source", "block").agg(F.sum("mass").alias("block_mass"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("block_mass").over(earlier), F.lit(0.0)).alias("base"))
+    bases = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("block_mass").over(earlier), F.lit(0).cast("decimal(38,9)")).alias("base"))
     inner = Window.partitionBy("source", "block").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
     summed = blocked.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("upto", F.col("base") + F.sum("mass").over(inner))
     copies = F.round("upto") - F.round(F.col("upto") - F.col("mass"))
@@ -125,8 +135,8 @@ def _rounded(rated: DataFrame, most: int) -> DataFrame:
     return summed.select("source", "size", "n", "rate", bounded.alias("copies"))
 
 
-def _corrected(cells: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
-    """Move copies of one size in each source: those that leave the least of the difference between taken and target.
+def _moves(cells: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """(s, z, move): of each source the size whose copies, moved, leave the least of the difference between taken and target.
 
     Only a size below twice the difference lessens it; the move may go past the target.
     """
@@ -137,25 +147,49 @@ def _corrected(cells: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
     near = near.withColumn("move", F.least(room, F.greatest(F.lit(1), F.round(F.abs("gap") / F.col("size")).cast("long"))))
     left = F.abs(F.abs("gap") - F.col("move") * F.col("size"))
     best = near.groupBy("source").agg(F.min(F.struct(left.alias("left"), "size", "move", "gap")).alias("m"))
-    moves = best.select(F.col("source").alias("s"), F.col("m.size").alias("z"), (F.signum("m.gap") * F.col("m.move")).cast("long").alias("move"))
+    better = best.where(F.col("m.left") < F.abs("m.gap"))
+    return better.select(F.col("source").alias("s"), F.col("m.size").alias("z"), (F.signum("m.gap") * F.col("m.move")).cast("long").alias("move"))
+
+
+def _corrected(cells: DataFrame, moves: DataFrame) -> DataFrame:
     moved = cells.join(moves, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
     return moved.select("source", "size", "n", "rate", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _salt_quotas(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """(s, z, salt, more): how many documents of each salt of a large cell take one more copy.
+
+    A cell's extra copies fall to its salts in proportion, by differences of floored running sums.
+    """
+    large = cells.where(F.col("n") > ROWS_A_SALT).select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "copies")
+    dealt = rows.select("source", "size", "h").join(large, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+    parts = dealt.groupBy("s", "z", "n", "copies", _salt(F.col("n")).alias("salt")).agg(F.count("*").alias("here"))
+    upto = F.sum("here").over(Window.partitionBy("s", "z").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0))
+    extra = F.col("copies") % F.col("n")
+    share = F.floor(upto * extra / F.col("n")) - F.floor((upto - F.col("here")) * extra / F.col("n"))
+    return parts.select("s", "z", F.col("salt").alias("k"), share.alias("more"))
+
+
+def _salt(n: Column) -> Column:
+    return F.pmod("h", F.ceil(n / ROWS_A_SALT))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] | None = None) -> DataFrame:
     """Every row of ``docs`` as struct ``row`` with source, size, source_size, target, rate, copies and taken.
 
     copies is how often the mix takes the row, ``most`` times at most.  Rows
-    without words have rate one and copy one.  Among rows of one source and size,
+    without words, null texts among them, have rate one and copy one; a null
+    source is a source of its own, the last.  Among rows of one source and size,
     the order of a hash of the id and text says which take one more; it depends
-    on the rows alone, so reruns agree.  Repeated rows count each.  Columns of
-    ``docs`` stay inside ``row``, so no name clashes; an empty table stays empty.
+    on the rows alone, so reruns agree.  Repeated rows count each.  The columns
+    ``keep`` of ``docs``, all if not given, stay inside ``row``, so no name
+    clashes; an empty table stays empty.
     """
-    size = word_count(F.col(text_col))
+    kept = docs.columns if keep is None else keep
     hashed = F.xxhash64(F.lit(id_col), F.col(id_col), F.col(text_col))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), size.alias("size"), hashed.alias("h"))
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("h"), F.col(id_col).alias("key"))
+    rows = storage.materialise(rows, "sized-rows", compression="zstd")
     counts = storage.materialise(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
-    total = counts.agg(F.sum("n")).first()[0] or 0
     wanted = storage.materialise(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most), "targets")
     solved = tilts(counts, wanted, most)
 
@@ -164,25 +198,21 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, id_
     rate = F.when(F.col("size") > 0, _rate(F.col("tilt"), F.col("size") / F.col("mean"), most)).otherwise(1.0)
     cells = storage.materialise(_rounded(rated.select("source", "size", "n", rate.alias("rate")), most), "copies")
     for _ in range(CORRECTIONS):
-        cells = storage.materialise(_corrected(cells, wanted, most), "copies")
-
-    salts = max(1, -(-total // ROWS_A_SALT))
-    salted = rows.withColumn("salt", F.pmod("h", F.lit(salts)))
-    parts = salted.groupBy("source", "size", "salt").agg(F.count("*").alias("here"))
-    # A cell's extra copies fall to its salts in proportion, by differences of floored running sums.
-    upto = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)
-    named = cells.join(wanted.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    keys = [named[c].alias(f"cell_{c}") for c in ("source", "size")]
-    named = named.select(*keys, "n", "rate", "copies", "source_size", "target")
-    quota = parts.withColumn("upto", F.sum("here").over(upto)).join(named, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("size") == F.col("cell_size")))
-    extra = F.col("copies") % F.col("n")
-    share = F.floor(F.col("upto") * extra / F.col("n")) - F.floor((F.col("upto") - F.col("here")) * extra / F.col("n"))
-    quota = quota.select("cell_source", "cell_size", F.col("salt").alias("cell_salt"), "rate", "source_size", "target", F.floor(F.col("copies") / F.col("n")).alias("each"), share.alias("more"))
-    same = F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("size") == F.col("cell_size")) & (F.col("salt") == F.col("cell_salt"))
-    order = Window.partitionBy("source", "size", "salt").orderBy("h", f"row.{id_col}")
-    placed = salted.withColumn("place", F.row_number().over(order)).join(quota, same)
-    copies = (F.col("each") + (F.col("place") <= F.col("more")).cast("int")).cast("long")
-    return placed.select("row", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        moves = storage.materialise(_moves(cells, wanted, most), "moves")
+        if moves.isEmpty():
+            break
+        cells = storage.materialise(_corrected(cells, moves), "copies")
+
+    quotas = storage.materialise(_salt_quotas(rows, cells), "quotas")
+    of_source = wanted.select(F.col("source").alias("s"), "source_size", "target")
+    named = cells.join(of_source, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("cell_source"), F.col("size").alias("cell_size"), "n", "rate", "copies", "source_size", "target")
+    full = rows.join(named, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("size") == F.col("cell_size"))).withColumn("salt", _salt(F.col("n")))
+    full = full.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("k")), "left")
+    place = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("h", "key"))
+    more = F.when(F.col("n") > ROWS_A_SALT, F.col("more")).otherwise(F.col("copies") % F.col("n"))
+    copies = (F.floor(F.col("copies") / F.col("n")) + (place <= more).cast("int")).cast("long")
+    placed = full.select("row", "source", "size", "source_size", "target", "rate", copies.alias("copies"))
+    return placed.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
