@@ -15,8 +15,8 @@ correction rounds then move copies of the one size that lessens the miss most.
 Sums of rates are exact decimals, so neither the tilts nor the copies depend on
 the order of partial sums.
 
-Skew: texts are read once, and every later step works on sizes and counts.  A
-cell (source, size) of more than ROWS_A_SALT documents is dealt by salts of a
+Skew: texts are read twice, first for their sizes and last to be placed; all
+between works on sizes and counts, and no text is written.  A cell (source, size) of more than ROWS_A_SALT documents is dealt by salts of a
 hash, as many as it needs; the few such cells alone have a table of salts.
 """
 
@@ -188,8 +188,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, id_
     kept = docs.columns if keep is None else keep
     hashed = F.xxhash64(F.lit(id_col), F.col(id_col), F.col(text_col))
     rows = docs.select(F.struct(*kept).alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("h"), F.col(id_col).alias("key"))
-    rows = storage.materialise(rows, "sized-rows", compression="zstd")
-    counts = storage.materialise(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
+    sized = storage.materialise(rows.select("source", "size", "h"), "sizes-of-rows", compression="zstd")
+    counts = storage.materialise(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     wanted = storage.materialise(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most), "targets")
     solved = tilts(counts, wanted, most)
 
@@ -203,7 +203,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, id_
             break
         cells = storage.materialise(_corrected(cells, moves), "copies")
 
-    quotas = storage.materialise(_salt_quotas(rows, cells), "quotas")
+    quotas = storage.materialise(_salt_quotas(sized, cells), "quotas")
     of_source = wanted.select(F.col("source").alias("s"), "source_size", "target")
     named = cells.join(of_source, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("cell_source"), F.col("size").alias("cell_size"), "n", "rate", "copies", "source_size", "target")
     full = rows.join(named, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("size") == F.col("cell_size"))).withColumn("salt", _salt(F.col("n")))
