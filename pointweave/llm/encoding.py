@@ -32,10 +32,10 @@ BYTE_PATTERN = re.compile(rf"{MARK}|'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-
 WORD_PATTERN = re.compile(rf"{MARK}|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9{MARK}]+")
 SAFE_CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 LONGEST_KEPT = 64
-#: Segments that a worker remembers, and twice as many pre-tokens, which cost more to encode: some 150 MB in all.
-MAX_SEGMENTS = 300_000
+#: Segments that a worker remembers, and twice as many pre-tokens, which cost more to encode: some 100 MB in all.
+MAX_SEGMENTS = 200_000
 BATCH_BYTES = 1 << 18
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -106,6 +106,17 @@ def slices(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[i
         yield begin, len(texts)
 
 
+def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first, last, texts) of rows of about ``most`` bytes, so that a batch is never held as Python strings at once."""
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield first, last, column.slice(first, last - first).to_pylist()
+        first = last
+
+
 class Memo:
     """Strings with a span of ids each, in arrays that grow; short strings are found again until ``most`` are held."""
 

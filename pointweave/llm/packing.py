@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import storage
-from .encoding import encoder, slices
+from .encoding import encoder, text_slices
 
 CAPACITY = 4096
 OPEN_WINDOWS = 64
@@ -82,9 +82,9 @@ def _pack(tokenizer_path: str, end_id: int, capacity: int, open_windows: int, ke
 
         packer = WindowPacker(capacity, open_windows, close)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for first, last in slices(texts):
-                offsets, found = coder.encode_batch(texts[first:last])
+            keys = b.column(0).to_pylist()
+            for first, last, texts in text_slices(b.column(1)):
+                offsets, found = coder.encode_batch(texts)
                 found = found.astype("<u4").tobytes()
                 for key, begin, stop in zip(keys[first:last], offsets[:-1].tolist(), offsets[1:].tolist()):
                     ids, total = found[4 * begin : 4 * stop] + end, stop - begin + 1

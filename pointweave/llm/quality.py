@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .encoding import slices
+from .encoding import text_slices
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -43,7 +43,9 @@ HELD_OUT = 3
 TEMPER = 40.0
 #: A text's mean takes this many n-grams of ratio one beside its own, so a few words decide nothing.
 PRIOR_NGRAMS = 6
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
+#: Bytes of text whose n-grams are held at once.
+SLICE_BYTES = 1 << 21
 LONGEST_SHAPE = 16
 #: Counts that a round of the exact k-th search may bring to the driver.
 RADIX = 4096
@@ -131,9 +133,9 @@ def ngrams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, BUCKETS), np.int64)
     for b in batches:
-        texts, good = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for first, last in slices(texts):
-            found, owner = ngrams(texts[first:last])
+        good = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for first, last, texts in text_slices(b.column(0), SLICE_BYTES):
+            found, owner = ngrams(texts)
             counts[0] += np.bincount(found, minlength=BUCKETS)
             counts[1] += np.bincount(found[good[first:last][owner]], minlength=BUCKETS)
     at = np.flatnonzero(counts[0])
@@ -171,14 +173,14 @@ def weight_of(text: Column, ratios: np.ndarray) -> Column:
     """The mean log ratio of a text's n-grams, for a model of fixed size."""
     held = ratios
 
-    @F.pandas_udf("double")
-    def weigh(texts: pd.Series) -> pd.Series:
-        full, parts = texts.where(texts.notna(), "").tolist(), [np.zeros(0)]
-        for first, last in slices(full):
-            found, owner = ngrams(full[first:last])
+    @F.arrow_udf("double")
+    def weigh(texts: pa.Array) -> pa.Array:
+        parts = [np.zeros(0)]
+        for first, last, part in text_slices(texts, SLICE_BYTES):
+            found, owner = ngrams(part)
             n = last - first
             parts.append(np.bincount(owner, held[found], minlength=n) / (np.bincount(owner, minlength=n) + PRIOR_NGRAMS))
-        return pd.Series(np.concatenate(parts))
+        return pa.array(np.concatenate(parts))
 
     return weigh(text)
 

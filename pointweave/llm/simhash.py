@@ -82,7 +82,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id) of every row; component_id is the least id reachable over links.
 
     Null and empty texts have fingerprint zero and link like any other.  A null
-    id counts in no minimum: a component of null ids alone has a null id.
+    id counts in no minimum: a component of null ids alone has a null id.  Rows
+    that repeat give a row each; texts are read whole; other columns are not
+    read; an empty table gives an empty result.
     """
     rows = storage.materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = storage.materialise(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
@@ -96,7 +98,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: that of the least id, a null one last, then of the least hash of its text."""
+    """One row of each component: that of the least id, a null one last, then of the least hash of its text.
+
+    Rows are told apart by their place, so null and repeated ids keep unlike texts
+    apart; all columns stay, but ``__row`` is the operator's own.
+    """
     rows = storage.materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
     named = near_duplicates(rows, "__row", text_col).select(F.col("id").alias("__row"), "component_id")
     best = F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col("__row").alias("row")))

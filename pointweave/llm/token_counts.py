@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import balanced, cut_long, encoder
+from .encoding import balanced, cut_long, encoder, text_slices
 
 #: A text of more characters goes to a ``.model`` tokenizer in parts.
 PART_CHARS = 1 << 16
@@ -61,8 +61,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = pa.array(counter(tokenizer_path).count_batch(b.column(1).to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), counts], ["key", "n_bytes", "n_tokens"])
+            for first, last, texts in text_slices(b.column(1)):
+                counts = pa.array(counter(tokenizer_path).count_batch(texts), pa.int64())
+                part = b.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), counts], ["key", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     return rows.mapInArrow(count, schema).select(F.col("key").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

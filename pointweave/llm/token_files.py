@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import storage
-from .encoding import encoder, slices
+from .encoding import encoder, text_slices
 
 SEQUENCE = 2048
 ROWS = 256
@@ -120,9 +120,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             if out is None:
                 sinks = [system.open_output_stream(f"{folder}/{stem}.{kind}.arrow") for kind in ("tokens", "index")]
                 out, index = SequenceWriter(sinks[0], dtype, sequence, pad=end_id), pa.ipc.new_file(sinks[1], index_schema)
-            texts, starts, lengths = b.column(1).to_pylist(), [], []
-            for first, last in slices(texts):
-                offsets, ids = coder.encode_batch(texts[first:last])
+            starts, lengths = [], []
+            for first, last, texts in text_slices(b.column(1)):
+                offsets, ids = coder.encode_batch(texts)
                 starts.append(out.total + offsets[:-1] + np.arange(last - first))
                 lengths.append(np.diff(offsets) + 1)
                 out.append(np.insert(ids.astype(dtype), offsets[1:], end_id))
