@@ -19,8 +19,8 @@ def capture_pairs(images: DataFrame, name: str = "image", anchors: int = ANCHORS
     """(i, j) pairs of images by their order: neighbours one and two apart, and all pairs of ``anchors`` even ones."""
     placed = with_ordinal(images.select(F.col(name).alias("i")), ["i"], total="n")
     near = placed.withColumn("next", F.explode(F.array(*[F.col("ordinal") + g for g in GAPS])))
-    other = placed.select(F.col("i").alias("j"), "ordinal")
-    chain = near.join(other, near["next"] == other["ordinal"]).select("i", "j")
+    other = placed.select(F.col("i").alias("j"), F.col("ordinal").alias("next"))
+    chain = near.join(other, "next").select("i", "j")
     held = placed.where(evenly(F.col("ordinal"), F.col("n"), anchors, "floor"))
     late = held.select(F.col("i").alias("j"), F.col("ordinal").alias("after"))  # ``anchors`` rows at most
     return chain.union(held.join(F.broadcast(late), F.col("ordinal") < F.col("after")).select("i", "j")).distinct()
