@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, impact_search, mixing, packing, quality, sharding, simhash, storage, token_counts, token_files, transport_stream
+from . import html_text, impact_search, mixing, packing, quality, residual_packing, sharding, simhash, storage, token_counts, token_files, transport_stream
 
 END_ID = 2
 
@@ -76,7 +76,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-OPERATORS = (op1_mixing, op2_token_files, op3_transport_stream, op4_packing, op5_quality, op6_html_text, op7_impact_search, op8_simhash, op9_sharding, op10_token_counts)
+def op11_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = residual_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+OPERATORS = (op1_mixing, op2_token_files, op3_transport_stream, op4_packing, op5_quality, op6_html_text, op7_impact_search, op8_simhash, op9_sharding, op10_token_counts, op11_residual_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
