@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, impact_search, mixing, packing, quality, residual_packing, sharding, simhash, storage, token_counts, token_files, transport_stream
+from . import html_text, impact_search, mixing, packing, phrases, quality, residual_packing, sharding, simhash, storage, token_counts, token_files, transport_stream
 
 END_ID = 2
 
@@ -81,7 +81,11 @@ def op11_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-OPERATORS = (op1_mixing, op2_token_files, op3_transport_stream, op4_packing, op5_quality, op6_html_text, op7_impact_search, op8_simhash, op9_sharding, op10_token_counts, op11_residual_packing)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_mixing, op2_token_files, op3_transport_stream, op4_packing, op5_quality, op6_html_text, op7_impact_search, op8_simhash, op9_sharding, op10_token_counts, op11_residual_packing, op13_phrases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -101,5 +105,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
 
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM split, range(1, 6) AS t(k)),
+counted AS (SELECT lang, k, p, count(*) AS f FROM runs GROUP BY ALL),
+words AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counted WHERE k > 1 AND f >= 100),
+inner_parts AS (SELECT c.lang, c.p[i:i + m - 1] AS p, max(c.f) AS longest FROM candidates c, range(2, 5) AS t(m), range(1, 5) AS u(i) WHERE m < c.k AND i + m - 1 <= c.k GROUP BY ALL),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN inner_parts i ON c.lang = i.lang AND c.p = i.p WHERE i.longest IS NULL OR 100 * i.longest < 100 * c.f),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r, n, at, ((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM kept c JOIN words USING (lang), range(1, 5) AS t(at), counted x, counted y
+  WHERE at < c.k AND x.lang = c.lang AND x.p = c.p[1:at] AND y.lang = c.lang AND y.p = c.p[at + 1:c.k]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, at) = 1),
+named AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM lowest)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM named QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_impact_search": SEARCH_SQL, "op9_sharding": sharding.oracle("doc_id", "documents")}
+    return {"op13_phrases": PHRASES_SQL, "op7_impact_search": SEARCH_SQL, "op9_sharding": sharding.oracle("doc_id", "documents")}
