@@ -32,7 +32,7 @@ LOWEST, HIGHEST = 50, 95
 BLOCK_VALUES, QUERY_VALUES, TILE_ROWS = 1 << 19, 1 << 18, 128
 #: Shares of the components after which pairs leave.
 PARTS = (8, 4, 2)
-VERIFIED_VALUES = 1 << 22
+VERIFIED_VALUES = 1 << 20
 INDEX = "dim bigint, g bigint, ids binary, labels binary, kind string, ints binary, axes binary, leading binary, norms binary"
 
 
@@ -90,14 +90,14 @@ def rotated(ints: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return along[:, : ends[-1]], np.stack(behind, axis=1)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, exact: longs where all fit, else Python integers."""
+def products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows i of ``a`` and j of ``b``, exact: longs where all fit, else Python integers."""
     dim = max(1, a.shape[1])
     exact = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * dim < 1 << 63 and min(a.min(initial=0), b.min(initial=0)) > -(1 << 63)
-    out = np.zeros(len(a), np.int64 if exact else object)
+    out = np.zeros(len(i), np.int64 if exact else object)
     step = max(1, VERIFIED_VALUES // dim)
-    for at in range(0, len(a), step):
-        x, y = a[at : at + step], b[at : at + step]
+    for at in range(0, len(i), step):
+        x, y = a[i[at : at + step]], b[j[at : at + step]]
         out[at : at + step] = np.einsum("ij,ij->i", x, y) if exact else (x.astype(object) * y.astype(object)).sum(1)
     return out
 
@@ -128,7 +128,7 @@ def bounded(queries: np.ndarray, leading: np.ndarray, norms: np.ndarray, block:
             break
     query, column = np.nonzero(possible)
     work.made += len(query) * dim
-    return query, rows[column], products(queries[query], block.ints[rows[column]])
+    return query, rows[column], products(queries, block.ints, query, rows[column])
 
 
 def _threshold(values: np.ndarray, k: int) -> np.ndarray:

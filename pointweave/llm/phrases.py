@@ -185,7 +185,7 @@ class Shard:
                 seen = counts[some] > 0
                 columns = [pa.array(self.sorted_names[phrases[some][seen, k]], pa.string()) for k in range(depth)]
                 text = pa.compute.binary_join_element_wise(*columns, " ") if depth > 1 else columns[0]
-                yield pa.RecordBatch.from_arrays([pa.array(langs[lang[some][seen]], pa.string()), pa.array(np.full(int(seen.sum()), depth), pa.int32()), text, pa.array(counts[some][seen], pa.int64())], ["lang", "depth", "phrase", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(langs[lang[some][seen]], pa.string()), text, pa.array(counts[some][seen], pa.int64())], ["lang", "phrase", "f"])
         self.clear()
 
 
@@ -212,10 +212,15 @@ def _count(first: int, last: int, singles, pairs):
     return run
 
 
-def count_phrases(docs: DataFrame, first: int, last: int, singles=None, pairs=None) -> DataFrame:
-    """(lang, depth, phrase, f) of the runs of first to last words that the maps admit; docs has columns lang and text."""
-    tries = storage.materialise(docs.mapInArrow(_count(first, last, singles, pairs), "lang string, depth int, phrase string, f bigint"), "tries", compression="zstd")
-    return tries.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.first("depth").alias("depth"), F.sum("f").alias("f"))
+def count_phrases(docs: DataFrame, first: int, last: int, least: int = 1, singles=None, pairs=None) -> DataFrame:
+    """(lang, depth, phrase, f) of the runs of first to last words that the maps admit, with f >= least; docs has columns lang and text."""
+    spark = docs.sparkSession
+    path = storage.new_path(spark, "tries")
+    docs.mapInArrow(_count(first, last, singles, pairs), "lang string, phrase string, f bigint").write.parquet(path, compression="zstd")
+    tries = spark.read.schema("lang string, phrase string, f bigint").parquet(path)
+    merged = tries.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    depth = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).alias("depth")
+    return storage.materialise(merged.select("lang", depth, "phrase", "f"), "phrases", spent=[path])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,14 +240,14 @@ def bit_map(phrases: DataFrame):
 def frequent_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(phrases, languages): (lang, depth, phrase, f) of all phrases of at most ``depth`` words with f >= least; (lang, n) of all words."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
-    words = storage.materialise(count_phrases(texts, 1, 1), "words")
+    words = count_phrases(texts, 1, 1)
     languages = words.groupBy("lang").agg(F.sum("f").alias("n"))
     found = [words.where(F.col("f") >= least)]
     if depth > 1:
         singles = bit_map(found[0])
-        found.append(storage.materialise(count_phrases(texts, 2, 2, singles).where(F.col("f") >= least), "pairs"))
+        found.append(count_phrases(texts, 2, 2, least, singles))
         if depth > 2:
-            found.append(storage.materialise(count_phrases(texts, 3, depth, singles, bit_map(found[1])).where(F.col("f") >= least), "runs"))
+            found.append(count_phrases(texts, 3, depth, least, singles, bit_map(found[1])))
     phrases = found[0]
     for more in found[1:]:
         phrases = phrases.unionByName(more)

@@ -101,10 +101,11 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each component: that of the least id, a null one last, then of the least hash of its text.
 
     Rows are told apart by their place, so null and repeated ids keep unlike texts
-    apart; all columns stay, but ``__row`` is the operator's own.
+    apart; all columns stay, whatever their names, since a row travels as one value.
     """
-    rows = storage.materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
-    named = near_duplicates(rows, "__row", text_col).select(F.col("id").alias("__row"), "component_id")
-    best = F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col("__row").alias("row")))
-    kept = rows.join(named, "__row").groupBy("component_id").agg(best.alias("best")).select(F.col("best.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    rows = storage.materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given")), "numbered-rows")
+    keys = rows.select("row", F.col(f"given.{id_col}").alias("id"), F.col(f"given.{text_col}").alias("text"))
+    named = near_duplicates(keys, "row", "text").select(F.col("id").alias("row"), "component_id")
+    best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", F.xxhash64("text").alias("hash"), "row"))
+    kept = keys.join(named, "row").groupBy("component_id").agg(best.alias("best")).select(F.col("best.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("given.*")

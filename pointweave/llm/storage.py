@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,21 +35,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` once and return a scan of what was written."""
+def materialise(df: DataFrame, name: str, spent: Sequence[str] = (), **options: str) -> DataFrame:
+    """Write ``df`` once and return a scan of what was written; the tables at ``spent`` served ``df`` alone and are deleted."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
+    for old in spent:
+        discard(spark, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this session materialised; DataFrames that still read it become invalid."""
     try:
-        context = spark.sparkContext
-        for path in _WRITTEN:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-        _WRITTEN.clear()
+        for path in list(_WRITTEN):
+            discard(spark, path)
     except Exception:  # the session is already gone: its folder outlives it
         _WRITTEN.clear()

@@ -66,7 +66,7 @@ def test_large_numbers_are_exact_or_left_out(spark):
     kept = [r for r in rows if r[0] < 3]
     assert mined(frame(spark, rows), 1) == brute(kept, lambda i: True) != []
     a = np.array([[1 << 40, -3], [5, 7]])
-    assert hn.products(a, a).tolist() == [(1 << 80) + 9, 74]
+    assert hn.products(a, a, np.arange(2), np.arange(2)).tolist() == [(1 << 80) + 9, 74]
 
 
 def test_bounds_hold_and_discard_early():
