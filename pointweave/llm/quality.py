@@ -43,9 +43,9 @@ HELD_OUT = 3
 TEMPER = 40.0
 #: A text's mean takes this many n-grams of ratio one beside its own, so a few words decide nothing.
 PRIOR_NGRAMS = 6
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Bytes of text whose n-grams are held at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 LONGEST_SHAPE = 16
 #: Counts that a round of the exact k-th search may bring to the driver.
 RADIX = 4096
