@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .skew import meet, pair_cells
 
 
 @dataclass(frozen=True)
@@ -30,12 +31,12 @@ def support_overlap(support: DataFrame, *by: str, key: str = "key", frame: str =
     """(by, a, b, frame_a, frame_b, shared, size_a, size_b) of key pairs a < b of different frames that share points.
 
     ``support`` is a set of (by, key, frame, point).  Pairs meet only where they
-    share a point, through an equi-join on it.
+    share a point, through an equi-join on it; a point of very many regions is
+    dealt out as blocks.
     """
-    a, b = support.alias("a"), support.alias("b")
-    same = (F.col(f"a.{point}") == F.col(f"b.{point}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col(f"a.{frame}") != F.col(f"b.{frame}"))
-    for c in by:
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    cells = pair_cells(support.select(*by, key, frame, point), [*by, point])
+    a, b = cells.alias("a"), cells.alias("b")
+    same = meet([*by, point]) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col(f"a.{frame}") != F.col(f"b.{frame}"))
     groups = [F.col(f"a.{c}").alias(c) for c in by]
     pairs = a.join(b, same).groupBy(*groups, F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.col(f"a.{frame}").alias("frame_a"), F.col(f"b.{frame}").alias("frame_b")).agg(F.count("*").alias("shared"))
     sizes = support.groupBy(*by, key).agg(F.count("*").alias("size"))
@@ -234,15 +235,20 @@ def mask_links(supports: DataFrame, masks: DataFrame, least_overlap: float = 0.3
     full = masks.select(*meta).join(sized, "mask", "left")
     a = full.select(*[F.col(c).alias(f"{c}_a") for c in [*meta, "size"]])
     b = full.select(*[F.col(c).alias(f"{c}_b") for c in [*meta, "size"]])
-    points = supports.alias("p").join(supports.alias("q"), (F.col("p.point") == F.col("q.point")) & (F.col("p.mask") < F.col("q.mask")))
-    shared = points.groupBy(F.col("p.mask").alias("mask_a"), F.col("q.mask").alias("mask_b")).agg(F.count("*").alias("shared"))
+    held = supports.select("mask", "point").join(masks.select(*meta), "mask")
+
+    def shared(by: str) -> DataFrame:
+        """Points that masks of one level and one ``by`` have in common, by pair of masks of which the first is the lesser."""
+        cells = pair_cells(held.where(F.col(by).isNotNull()).select("point", "level", by, "mask"), ["point", "level", by])
+        pairs = cells.alias("a").join(cells.alias("b"), meet(["point", "level", by]) & (F.col("a.mask") < F.col("b.mask")))
+        return pairs.groupBy(F.col("a.mask").alias("mask_a"), F.col("b.mask").alias("mask_b")).agg(F.count("*").alias("shared"))
+
     both = F.col("object_id_a").isNotNull() & F.col("object_id_b").isNotNull()
-    drawn = shared.join(a, "mask_a").join(b, "mask_b")
-    ok = (F.col("level_a") == F.col("level_b")) & (F.col("frame_a") != F.col("frame_b")) & (F.col("label_a") == F.col("label_b")) & ~both
+    drawn = shared("label").join(a, "mask_a").join(b, "mask_b")
     score = F.col("shared") / F.greatest(F.lit(1), F.least("size_a", "size_b"))
-    seen = drawn.where(ok).withColumn("score", score).where((F.col("shared") >= least_shared) & (F.col("score") >= least_overlap))
+    seen = drawn.where((F.col("frame_a") != F.col("frame_b")) & ~both).withColumn("score", score).where((F.col("shared") >= least_shared) & (F.col("score") >= least_overlap))
     named = a.where("object_id_a IS NOT NULL").join(b, (F.col("object_id_a") == F.col("object_id_b")) & (F.col("level_a") == F.col("level_b")) & (F.col("mask_a") < F.col("mask_b")))
-    given = named.join(shared, ["mask_a", "mask_b"], "left").withColumn("score", F.lit(2.0)).withColumn("shared", F.coalesce("shared", F.lit(0)))
+    given = named.join(shared("object_id"), ["mask_a", "mask_b"], "left").withColumn("score", F.lit(2.0)).withColumn("shared", F.coalesce("shared", F.lit(0)))
     names = [F.col("mask_a").alias("a"), F.col("mask_b").alias("b"), "shared", "score"]
     return seen.select(*names).unionByName(given.select(*names))
 

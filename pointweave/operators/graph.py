@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import settled
+from .skew import meet, pair_cells
 
 
 BILLION = 1_000_000_000.0
@@ -124,7 +125,8 @@ def containment_pairs(pixels: DataFrame, least: float = 0.9, ratio: float = 1.5)
     ``pixels`` is a set of (frame, class, pixel).
     """
     areas = pixels.groupBy("frame", "class").agg(F.count("*").alias("area"))
-    met = pixels.alias("c").join(pixels.alias("p"), (F.col("c.frame") == F.col("p.frame")) & (F.col("c.pixel") == F.col("p.pixel")) & (F.col("c.class") != F.col("p.class")))
+    cells = pair_cells(pixels.select("frame", "class", "pixel"), ["frame", "pixel"])
+    met = cells.alias("c").join(cells.alias("p"), meet(["frame", "pixel"], "c", "p") & (F.col("c.class") != F.col("p.class")))
     inside = met.groupBy(F.col("c.frame").alias("frame"), F.col("c.class").alias("child"), F.col("p.class").alias("parent")).agg(F.count("*").alias("inside"))
     for side in ("child", "parent"):
         inside = inside.join(areas.select("frame", F.col("class").alias(side), F.col("area").alias(f"{side}_area")), ["frame", side])
@@ -139,7 +141,8 @@ def containment_support(pairs: DataFrame, observed: DataFrame, least_views: int
     without common pixels counts as one with containment zero.  The mean is over
     whole billionths, so it does not depend on the order of the sum.
     """
-    seen = observed.alias("c").join(observed.alias("p"), (F.col("c.frame") == F.col("p.frame")) & (F.col("c.class") != F.col("p.class")))
+    cells = pair_cells(observed.select("frame", "class"), ["frame"])
+    seen = cells.alias("c").join(cells.alias("p"), meet(["frame"], "c", "p") & (F.col("c.class") != F.col("p.class")))
     shared = seen.select(F.col("c.frame").alias("frame"), F.col("c.class").alias("child"), F.col("p.class").alias("parent"))
     full = shared.join(pairs, ["frame", "child", "parent"], "left")
     held = F.coalesce(F.col("inside") / F.col("child_area"), F.lit(0.0))

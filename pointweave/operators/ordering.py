@@ -83,6 +83,20 @@ def even_sample(rows: DataFrame, order: Sequence[str], k: int, rule: str = "trun
     return numbered.where(evenly(F.col("ordinal"), F.col("__size"), k, rule)).drop("__size")
 
 
+def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(by, share, value): exact quantiles of each group, between two rows by linear interpolation; null values are left out.
+
+    Values take their places in one sorted layout over all groups, and only the
+    two rows beside each place are kept, so a group of any size costs no task its
+    values.
+    """
+    placed = with_ordinal(rows.where(F.col(value).isNotNull()).select(*by, value), [value], by, total="__size")
+    place = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), (F.lit(float(s)) * (F.col("__size") - 1)).alias("at")) for s in shares]))
+    near = placed.withColumn("__p", place).where(F.abs(F.col("ordinal") - F.col("__p.at")) < 1)
+    weight = 1 - F.abs(F.col("ordinal") - F.col("__p.at"))
+    return near.groupBy(*by, F.col("__p.share").alias("share")).agg(F.sum(weight * F.col(value)).alias("value"))
+
+
 def every_nth(rows: DataFrame, order: Sequence[str], n: int = 8, also: Column | None = None) -> DataFrame:
     """Rows 0, n, 2n, ... of the order, the held-out part of a split, and all rows that ``also`` names."""
     picked = F.col("ordinal") % n == 0

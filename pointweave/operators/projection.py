@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import frustum
+
 #: Fixed values of the two visibility rules.
 NEAREST = 1e-6
 WINNER_OPACITY = 0.05
@@ -23,14 +25,29 @@ def to_camera(points: DataFrame, cameras: DataFrame, most_cameras: int = 100_000
     of their number; beyond it neither side is.
     """
     held = cameras.limit(most_cameras + 1).count()
-    pairs = points.crossJoin(F.broadcast(cameras) if held <= most_cameras else cameras)
+    return _in_camera(points.crossJoin(F.broadcast(cameras) if held <= most_cameras else cameras))
+
+
+def _in_camera(pairs: DataFrame) -> DataFrame:
     axis = lambda i: sum((F.col(f"r{i}{j}") * F.col(c) for j, c in enumerate("xyz")), F.col(f"t{i}"))
     return pairs.withColumns({"camx": axis(0), "camy": axis(1), "camz": axis(2)})
 
 
 def project(points: DataFrame, cameras: DataFrame, least_depth: float = 1e-5) -> DataFrame:
     """u and v of every point in every camera; the depth divides as at least ``least_depth``."""
-    seen = to_camera(points, cameras)
+    return _on_image(to_camera(points, cameras), least_depth)
+
+
+def project_inside(points: DataFrame, cameras: DataFrame, least_depth: float = 1e-5) -> DataFrame:
+    """u and v of the points that lie in each camera's image, and no others.
+
+    Points and cameras meet by equi-joins on grid cells that a camera's frustum
+    touches, so what a camera does not see is never paired with it.
+    """
+    return _on_image(_in_camera(frustum.candidates(points, cameras, least_depth)), least_depth).where(inside_image())
+
+
+def _on_image(seen: DataFrame, least_depth: float) -> DataFrame:
     z = F.greatest(F.col("camz"), F.lit(least_depth))
     return seen.withColumns({"u": F.col("fx") * F.col("camx") / z + F.col("cx0"), "v": F.col("fy") * F.col("camy") / z + F.col("cy0"), "depth": F.col("camz")})
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Sequence
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import written
 from .binding import manifest_diff
 from .ordering import even_sample
-from .regions import distance
+from .regions import distance, finite
 
 #: How far a keypoint may be from a track's pixel, and how many points a keypoint's place may take.
 KEYPOINT_RADIUS, MOST_A_POINT = 2.0, 4
@@ -68,36 +71,77 @@ def not_too_near(queries: DataFrame, nearest: DataFrame, extent: float, share: f
     return queries.join(near, query_id, "left_anti")
 
 
-def hull_area(points: DataFrame, by: str) -> DataFrame:
-    """(by, area) of the convex hull of each group's points (u, v).
+def _turn(a: tuple, b: tuple, c: tuple) -> int:
+    """Whether the way a, b, c turns left (1), right (-1) or goes straight (0); exact where doubles cannot tell."""
+    left, right = (b[0] - a[0]) * (c[1] - a[1]), (b[1] - a[1]) * (c[0] - a[0])
+    if not abs(left - right) > 1e-14 * (abs(left) + abs(right)) or not math.isfinite(left - right):
+        (ax, ay), (bx, by), (cx, cy) = (tuple(map(Fraction, p)) for p in (a, b, c))
+        left, right = (bx - ax) * (cy - ay), (by - ay) * (cx - ax)
+    return (left > right) - (left < right)
+
+
+def convex_hull(points: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull in order; points on its edges and repeated ones are none."""
+    ordered = sorted(set(points))
+    if len(ordered) < 3:
+        return ordered
+
+    def chain(side):
+        out: list[tuple[float, float]] = []
+        for p in side:
+            while len(out) > 1 and _turn(out[-2], out[-1], p) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return chain(ordered) + chain(ordered[::-1])
+
 
-    Only a group's extreme points of every 256th of a turn reach Python, so a
-    group of any size is bounded there; the hull of these is within a few
-    hundred-thousandths of the whole one's area, and exact for groups that have
-    no more extremes.
+def hull_corners(points: DataFrame, by: str, at_once: int = 100_000) -> DataFrame:
+    """(by, u, v): the corners of the convex hull of each group's points; rows with a null or non-finite coordinate are left out.
+
+    The corners of a union are among the corners of its parts, so each task first
+    keeps those of what it reads, and parts of a group melt together level by
+    level.  A group whose parts hold no more than ``at_once`` corners is one part.
     """
-    directions = F.sequence(F.lit(0), F.lit(255))
-    turned = points.where("u IS NOT NULL AND v IS NOT NULL").select(by, "u", "v", F.explode(directions).alias("d"))
-    angle = F.col("d") * (2 * 3.141592653589793 / 256)
-    far = turned.withColumn("reach", F.col("u") * F.cos(angle) + F.col("v") * F.sin(angle))
-    ends = far.groupBy(by, "d").agg(F.max(F.struct("reach", "u", "v")).alias("m")).select(by, "m.u", "m.v").distinct()
+    kind = f"`{by}` {points.schema[by].dataType.simpleString()}, u double, v double"
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(name, convex_hull(zip(own["u"].tolist(), own["v"].tolist()))) for name, own in pdf.groupby(by, dropna=False, sort=False)]
+        rows = [(name, u, v) for name, hull in parts for u, v in hull]
+        out = pd.DataFrame(rows, columns=[by, "u", "v"])
+        out[by] = out[by].astype(object).where(out[by].notna(), None)
+        return out
+
+    found = points.select(by, F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")).where(finite("u", "v"))
+    found = written(found.mapInPandas(lambda batches: map(corners, batches), kind), "hull-parts")
+    parts = None
+    while True:
+        most = found.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        parts = -(-most // at_once) if parts is None else min(-(-most // at_once), -(-parts // 2))
+        merged = found.withColumn("part", F.pmod(F.xxhash64("u", "v"), F.lit(max(1, parts)))).groupBy(by, "part")
+        found = written(merged.applyInPandas(corners, kind), "hull-parts")
+        if parts <= 1:
+            return found
 
-    def area(pdf: pd.DataFrame) -> pd.DataFrame:
-        corners = sorted(zip(pdf["u"], pdf["v"]))
 
-        def chain(ordered):
-            out = []
-            for p in ordered:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
-                    out.pop()
-                out.append(p)
-            return out[:-1]
+def hull_area(points: DataFrame, by: str) -> DataFrame:
+    """(by, area) of the convex hull of each group's points (u, v), exact but for the rounding of the area's own sum.
+
+    The corners of one hull meet in one task at last: many only if so many points
+    lie on a curve, never because there are many points.  A group of fewer than
+    three corners has no area.
+    """
+    corners = hull_corners(points, by)
 
-        ring = chain(corners) + chain(corners[::-1])
-        twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "area": [abs(twice) / 2]})
+    def area(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = convex_hull(zip(pdf["u"].tolist(), pdf["v"].tolist()))
+        (x, y) = ring[0]
+        moved = [(u - x, v - y) for u, v in ring]
+        twice = math.fsum(a[0] * b[1] - b[0] * a[1] for a, b in zip(moved, moved[1:] + moved[:1]))
+        return pd.DataFrame({by: pdf[by].iloc[:1].tolist(), "area": [abs(twice) / 2]})
 
-    return ends.groupBy(by).applyInPandas(area, f"`{by}` {points.schema[by].dataType.simpleString()}, area double")
+    return corners.groupBy(by).applyInPandas(area, f"`{by}` {points.schema[by].dataType.simpleString()}, area double")
 
 
 def category_masks(scores: DataFrame, columns: DataFrame, *pixel: str, least: float = 0.5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..operators import association as a
-from ..operators import retrieval
+from ..operators import consensus, retrieval
 from .common import SIGHTINGS, collector, r6, sightings, table
 
 QUERIES, query = collector()
@@ -168,6 +168,18 @@ def greedy_association(spark, sf):
     return groups
 
 
+@query()
+def aligned_scenes(spark, sf):
+    """Labels as scenes: two frames of each vector's leading components, and a turned, doubled and moved target that every tenth misses."""
+    x = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    e = table(spark, sf, "embeddings").withColumn("frame", F.explode(F.array(F.lit(0), F.lit(1))))
+    source = [(x(i) + F.col("frame") * x(i + 3) / 500).alias(f"s{c}") for i, c in enumerate("xyz")]
+    off = F.when(F.col("vec_id") % 10 == 0, 1.0).otherwise(0.0)
+    target = [(2 * t + off * x(i + 6) + i).alias(f"t{c}") for i, (t, c) in enumerate(zip((-x(1), x(0), x(2)), "xyz"))]
+    found = consensus.align(e.select(F.col("label").alias("scene"), F.col("vec_id").alias("track"), "frame", *source, *target), "scene")
+    return found.select("scene", "status", "reason", "tracks", "inliers", "held_out", r6("threshold").alias("threshold"), F.round("scale", 2).alias("scale"))
+
+
 @query()
 def descriptor_bank(spark, sf):
     e = table(spark, sf, "embeddings")

@@ -92,9 +92,9 @@ ok AS (SELECT *, floor(u)::BIGINT AS px, floor(v)::BIGINT AS py FROM seen WHERE
 """
 
 
-def _seen(spark, sf):
+def _seen(spark, sf, project=projection.project):
     cameras = spark.createDataFrame(CAMERA_ROWS, CAMERA_NAMES)
-    return projection.project(vectors(spark, sf), cameras).withColumn("opacity", F.lit(0.01) * (F.col("point_id") % 10))
+    return project(vectors(spark, sf), cameras).withColumn("opacity", F.lit(0.01) * (F.col("point_id") % 10))
 
 
 @query(SEEN + "SELECT frame, point_id, round(u, 4) + 0.0 AS u, round(v, 4) + 0.0 AS v, round(depth, 6) + 0.0 AS depth FROM seen")
@@ -104,13 +104,13 @@ def project_points(spark, sf):
 
 @query(SEEN + ", w AS (SELECT *, row_number() OVER (PARTITION BY frame, px, py ORDER BY depth, point_id) AS r FROM ok WHERE opacity >= 0.05) SELECT frame, px, py, point_id FROM w WHERE r = 1")
 def visible_point_grid(spark, sf):
-    return projection.visible_grid(_seen(spark, sf)).select("frame", "px", "py", "point_id")
+    return projection.visible_grid(_seen(spark, sf, projection.project_inside)).select("frame", "px", "py", "point_id")
 
 
 @query(SEEN + """, e AS (SELECT frame, point_id, depth, greatest(0, least(round_even(u, 0), width - 1))::BIGINT AS px, greatest(0, least(round_even(v, 0), height - 1))::BIGINT AS py FROM ok WHERE opacity >= 0.02),
 f AS (SELECT *, min(depth) OVER (PARTITION BY frame, px, py) AS front FROM e) SELECT frame, point_id, px, py FROM f WHERE depth <= front + 0.01 + 0.02 * greatest(depth, 0)""")
 def visible_points(spark, sf):
-    return projection.visible_points(_seen(spark, sf)).select("frame", "point_id", "px", "py")
+    return projection.visible_points(_seen(spark, sf, projection.project_inside)).select("frame", "point_id", "px", "py")
 
 
 @query(f"WITH w AS (SELECT *, row_number() OVER (PARTITION BY frame, px, py ORDER BY depth, point_id) AS r FROM {CELLS}) SELECT frame, px, py, point_id, depth FROM w WHERE r = 1")

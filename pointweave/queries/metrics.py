@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..operators import metrics as m
-from ..operators import validation
+from ..operators import reviews, validation
 from .common import CELLS, cells, collector, r6, table
 
 QUERIES, query = collector()
@@ -91,6 +91,20 @@ def cell_coverage(spark, sf):
     return m.cell_coverage(x, "l_suppkey").withColumn("edge", F.round("edge", 6))
 
 
+@query("""
+WITH p AS (SELECT l_orderkey, l_quantity::DOUBLE AS u, max(l_extendedprice::DOUBLE) AS hi, min(l_extendedprice::DOUBLE) AS lo FROM lineitem GROUP BY ALL),
+spans AS (SELECT p.l_orderkey, p.u, (p.u - a.u) / (b.u - a.u) AS w, a.hi AS ah, b.hi AS bh, a.lo AS al, b.lo AS bl, p.hi, p.lo FROM p JOIN p a ON a.l_orderkey = p.l_orderkey AND a.u < p.u JOIN p b ON b.l_orderkey = p.l_orderkey AND p.u < b.u),
+under AS (SELECT l_orderkey, u, bool_or(hi <= ah + w * (bh - ah)) AS dips, bool_or(lo >= al + w * (bl - al)) AS rises FROM spans GROUP BY ALL),
+marked AS (SELECT p.*, coalesce(dips, false) AS dips, coalesce(rises, false) AS rises FROM p LEFT JOIN under ON under.l_orderkey = p.l_orderkey AND under.u = p.u),
+top AS (SELECT l_orderkey, (lead(u) OVER w - u) * (lead(hi) OVER w + hi) / 2 AS part FROM marked WHERE NOT dips WINDOW w AS (PARTITION BY l_orderkey ORDER BY u)),
+bottom AS (SELECT l_orderkey, (lead(u) OVER w - u) * (lead(lo) OVER w + lo) / 2 AS part FROM marked WHERE NOT rises WINDOW w AS (PARTITION BY l_orderkey ORDER BY u)),
+sides AS (SELECT l_orderkey, coalesce(part, 0) AS part FROM top UNION ALL SELECT l_orderkey, -coalesce(part, 0) FROM bottom)
+SELECT l_orderkey, round(sum(part) * 200)::BIGINT AS twice_area_cents FROM sides GROUP BY 1""")
+def hull_areas(spark, sf):
+    x = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("u"), F.col("l_extendedprice").alias("v"))
+    return reviews.hull_area(x, "l_orderkey").select("l_orderkey", F.round(F.col("area") * 200).cast("long").alias("twice_area_cents"))
+
+
 @query("WITH c AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) SELECT count(*) AS eligible, count_if(n > 0)::BIGINT AS visited, count_if(n = 0)::BIGINT AS uncovered, min(n) AS least_visits FROM c")
 def supervision_coverage(spark, sf):
     return m.supervision_coverage(table(spark, sf, "customer").select(F.col("c_custkey").alias("view")), table(spark, sf, "orders").select(F.col("o_custkey").alias("view")))
