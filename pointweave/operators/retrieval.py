@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import neighbours
 from .ordering import even_sample, evenly, with_ordinal
 
 ANCHORS, GAPS = 12, (1, 2)
@@ -44,33 +43,20 @@ def ratio_matches(pairs: DataFrame, ratio: float = RATIO) -> DataFrame:
     return there.alias("f").join(back.alias("g"), (F.col("f.q") == F.col("g.t")) & (F.col("f.t") == F.col("g.q"))).select(F.col("f.q").alias("a"), F.col("f.t").alias("b"))
 
 
-def sign_buckets(vector: Column, dim: int, tables: int = 8, bits: int = 8, seed: int = 7) -> Column:
-    """Keys of a vector's buckets, one a table: the signs of ``bits`` fixed random projections."""
-    rng = random.Random(seed)
-    keys = []
-    for t in range(tables):
-        key = F.lit(t << bits)
-        for b in range(bits):
-            plane = F.array(*[F.lit(rng.gauss(0, 1)) for _ in range(dim)])
-            side = F.aggregate(F.zip_with(vector, plane, lambda x, w: x.cast("double") * w), F.lit(0.0), lambda s, v: s + v)
-            key = key + F.when(side > 0, 1 << b).otherwise(0)
-        keys.append(key.cast("long"))
-    return F.array(*keys)
-
-
-def retrieval_pairs(descriptors: DataFrame, queries: int = QUERIES_AN_IMAGE, nearest: int = NEIGHBOURS, most: int = IMAGES_AN_IMAGE) -> DataFrame:
-    """(i, j), i < j: images that probably overlap, by votes of descriptors (image, place, vector, buckets).
+def retrieval_pairs(descriptors: DataFrame, queries: int = QUERIES_AN_IMAGE, nearest: int = NEIGHBOURS, most: int = IMAGES_AN_IMAGE, exact_rows: int = neighbours.EXACT_ROWS) -> DataFrame:
+    """(i, j), i < j: images that probably overlap, by votes of descriptors (image, place, vector).
 
     Up to ``queries`` even descriptors of an image look up their ``nearest`` among
-    all that share one of their ``buckets`` (see ``sign_buckets``), own ones too;
-    an image gets one vote a query that has it there.  The ``most`` voted images
-    of each image make pairs.  Votes only propose pairs; matching decides.
+    all, own ones too; an image gets one vote a query that has it there.  The
+    ``most`` voted images of each image make pairs.  Votes only propose pairs;
+    matching decides.  Beyond ``exact_rows`` descriptors an index answers, which
+    looks into as many cells as its sample needs to find 95 % of all neighbours.
     """
-    keyed = descriptors.select(F.col("image").alias("near_image"), F.col("place").alias("near_place"), F.col("vector").alias("__t"), F.explode("buckets").alias("__key"))
-    asked = even_sample(descriptors, ["place"], queries, "floor", ["image"]).select("image", "place", F.col("vector").alias("__q"), F.explode("buckets").alias("__key"))
-    met = asked.join(keyed, "__key").select("image", "place", "near_image", "near_place", squared_distance(F.col("__q"), F.col("__t")).alias("d")).distinct()
-    w = Window.partitionBy("image", "place").orderBy("d", "near_image", "near_place")
-    best = met.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= nearest)
+    cells = neighbours.fitted(descriptors.select("image", "vector").where("vector IS NOT NULL"), "image", "vector", nearest, exact_rows)
+    named = lambda rows, name: rows.select(F.struct("image", "place").alias(name), "vector")
+    asked = even_sample(descriptors, ["place"], queries, "floor", ["image"])
+    best = neighbours.k_nearest(named(asked, "query"), named(descriptors, "near"), nearest, cells)
+    best = best.select("query.image", "query.place", F.col("near.image").alias("near_image"))
     votes = best.where("image <> near_image").groupBy("image", "near_image").agg(F.count_distinct("place").alias("votes"))
     first = Window.partitionBy("image").orderBy(F.col("votes").desc(), "near_image")
     kept = votes.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most)

@@ -224,13 +224,13 @@ def restored_selection(spark, sf):
 WITH d AS (SELECT vec_id, label AS image, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS o, count(*) OVER (PARTITION BY label) AS n, embedding FROM embeddings),
 picks AS (SELECT DISTINCT image, CASE WHEN n <= 5 THEN o ELSE floor(k * (n - 1)::DOUBLE / 4)::BIGINT END AS o FROM d, range(5) t(k)),
 q AS (SELECT d.* FROM d JOIN picks USING (image, o)),
-m AS (SELECT q.vec_id AS q, q.image, d.image AS near, d.vec_id AS t, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS far FROM q JOIN d ON q.vec_id % 4 = d.vec_id % 4),
+m AS (SELECT q.vec_id AS q, q.image, d.image AS near, d.vec_id AS t, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS far FROM q, d),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image, q ORDER BY far, near, t) AS r FROM m) WHERE r <= 12),
 v AS (SELECT image, near, count(DISTINCT q) AS votes FROM b WHERE image <> near GROUP BY ALL),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY votes DESC, near) AS r FROM v) WHERE r <= 3)
 SELECT DISTINCT least(image, near)::BIGINT AS i, greatest(image, near)::BIGINT AS j FROM k""")
 def image_retrieval(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("image"), F.col("vec_id").alias("place"), F.col("embedding").alias("vector"), F.array(F.col("vec_id") % 4).alias("buckets"))
+    e = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("image"), F.col("vec_id").alias("place"), F.col("embedding").alias("vector"))
     return retrieval.retrieval_pairs(e, queries=5, most=3)
 
 

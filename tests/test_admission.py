@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import numeric
 from pointweave.functions import text as t
-from pointweave.operators import admission, relations, retrieval, reviews
+from pointweave.operators import admission, neighbours, relations, retrieval, reviews
 from pointweave.sources import packages, ply, scene_files
 from pointweave.streaming import resume
 
@@ -35,14 +35,39 @@ def test_edge_digests_do_not_depend_on_order(spark):
     assert {r["edge"]: r["digest"] for r in admission.edge_digests(other, "edge").collect()}["a"] != one["a"][1]
 
 
-def test_sign_buckets_bring_near_vectors_together(spark):
+def test_near_images_vote_for_each_other(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(0, 1, (40, 16))
     rows = [(int(i % 4), int(i), v.tolist()) for i, v in enumerate(base)] + [(int((i + 1) % 4), int(100 + i), (v + rng.normal(0, 0.02, 16)).tolist()) for i, v in enumerate(base)]
-    frame = spark.createDataFrame(rows, "image long, place long, vector array<double>").withColumn("buckets", retrieval.sign_buckets(F.col("vector"), 16))
-    met = frame.select("place", F.explode("buckets").alias("b")).where("place < 100").join(frame.select((F.col("place") - 100).alias("place"), F.explode("buckets").alias("b")), ["place", "b"]).select("place").distinct().count()
-    assert met >= 38
-    assert {tuple(r) for r in retrieval.retrieval_pairs(frame).collect()} >= {(0, 1), (1, 2), (2, 3), (0, 3)}
+    frame = spark.createDataFrame(rows, "image long, place long, vector array<double>")
+    for exact_rows in (10_000, 10):
+        assert {tuple(r) for r in retrieval.retrieval_pairs(frame, exact_rows=exact_rows).collect()} >= {(0, 1), (1, 2), (2, 3), (0, 3)}
+
+
+def test_index_finds_nine_tenths_of_neighbours(spark):
+    """12 nearest of every tenth of 2,000 vectors by the index, against all pairs; and blocks change nothing."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    stored = e.select(F.col("vec_id").alias("near"), F.col("embedding").alias("vector"), "label")
+    asked = stored.where("near % 10 = 0").withColumnRenamed("near", "query")
+    cells = neighbours.fitted(stored, "label", "vector", 12, exact_rows=100)
+    assert cells.probes < len(cells.centres) == 44
+    found = {(r["query"], r["near"]) for r in neighbours.k_nearest(asked, stored, 12, cells).collect()}
+    held = stored.orderBy("near").collect()
+    matrix = np.array([r["vector"] for r in held], np.float64)
+    d = ((matrix[::10][:, None, :] - matrix[None]) ** 2).sum(2)
+    want = {(10 * i, int(j)) for i, row in enumerate(d) for j in np.argsort(row, kind="stable")[:12]}
+    assert len(found) == len(want) == 2400 and len(found & want) >= 0.9 * len(want)
+    exact = {(r["query"], r["near"]) for r in neighbours.k_nearest(asked, stored, 12, None).collect()}
+    assert exact == want
+
+
+def test_blocks_and_odd_vectors_of_the_index(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 7)
+    rows = [(i, [float(i % 10), 1.0]) for i in range(60)] + [(100, None)]
+    stored = spark.createDataFrame(rows, "near long, vector array<double>")
+    found = neighbours.k_nearest(stored.where("near in (0, 100)").withColumnRenamed("near", "query"), stored, 8, None).collect()
+    assert sorted((r["d"], r["near"]) for r in found) == [(0.0, i) for i in range(0, 60, 10)] + [(1.0, 1), (1.0, 11)]
+    assert neighbours.k_nearest(stored.limit(0).withColumnRenamed("near", "query"), stored, 3, None).count() == 0
 
 
 def test_triangulation_of_a_turned_camera(spark):
