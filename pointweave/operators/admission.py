@@ -70,15 +70,18 @@ def completed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"problem": problem, "rotation": turned, "confidence": bounded, "source": F.lit("inferred"), "provenance": F.lit(COMPLETION)})
 
 
-def observation_problems(observations: DataFrame, classes: int) -> DataFrame:
+def observation_problems(observations: DataFrame, classes: int, rows: str | None = None) -> DataFrame:
     """(frame, problem) of observations (frame, class_index, confidence, least, greatest: the range of targets), null where all is well.
 
-    A frame with any broken row, a class twice or a row count unlike its ``rows`` is named once, by the first rule.
+    A frame with any broken row, a class twice, or a number of rows unlike the one
+    that all of them state in the column ``rows``, if that is given, is named once,
+    by the first rule.
     """
     rules = {"class_range": F.col("class_index").between(0, classes - 1), "confidence": in_range(F.col("confidence"), 0, 1), "targets": in_range(F.col("least"), 0, 1) & in_range(F.col("greatest"), 0, 1)}
     bad = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()]
-    frames = observations.groupBy("frame").agg(*bad, (F.count("class_index") - F.count_distinct("class_index")).alias("class_twice"))
-    return frames.select("frame", first_broken(**{name: F.col(name) == 0 for name in (*rules, "class_twice")}).alias("problem"))
+    stated = F.coalesce((F.min(rows) == F.count("*")) & (F.max(rows) == F.count("*")) & (F.count(rows) == F.count("*")), F.lit(False)) if rows else F.lit(True)
+    frames = observations.groupBy("frame").agg(*bad, (F.count("class_index") - F.count_distinct("class_index")).alias("class_twice"), F.when(stated, 0).otherwise(1).alias("row_count"))
+    return frames.select("frame", first_broken(**{name: F.col(name) == 0 for name in (*rules, "class_twice", "row_count")}).alias("problem"))
 
 
 def mask_grid_problems(cameras: DataFrame, masks: DataFrame) -> DataFrame:
@@ -217,10 +220,12 @@ def token_problems(tokens: DataFrame, pad: int) -> DataFrame:
 
 
 def edge_digests(support: DataFrame, *keys: str) -> DataFrame:
-    """(keys, frames, digest): each edge's rows (frame, value) as one hash over their order by frame, however they are dealt."""
-    line = F.concat_ws(":", F.col("frame").cast("string"), F.col("value").cast("string"))
-    hashed = support.select(*keys, F.conv(F.substring(F.sha2(line, 256), 1, 12), 16, 10).cast("decimal(38,0)").alias("__h"))
-    return hashed.groupBy(*keys).agg(F.count("*").alias("frames"), F.sha2(F.concat_ws("/", F.sum("__h").cast("string"), F.count("*").cast("string")), 256).alias("digest"))
+    """(keys, frames, digest): each edge's rows (frame, value) as one hash of their list in order of frame, however they are dealt.
+
+    An edge's list is as long as its frames are many.
+    """
+    lists = support.groupBy(*keys).agg(F.count("*").alias("frames"), F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("__list"))
+    return lists.select(*keys, "frames", F.sha2(F.to_json("__list"), 256).alias("digest"))
 
 
 def scene_root(objects: DataFrame, scene: str = "scene_id") -> DataFrame:

@@ -35,6 +35,14 @@ def test_edge_digests_do_not_depend_on_order(spark):
     assert {r["edge"]: r["digest"] for r in admission.edge_digests(other, "edge").collect()}["a"] != one["a"][1]
 
 
+def test_row_counts_of_observations(spark):
+    rows = [("a", 0, 0.5, 2), ("a", 1, 0.5, 2), ("b", 0, 0.5, 2), ("c", 0, 0.5, None), ("d", 0, 0.5, 2), ("d", 0, 0.5, 2), ("e", 0, 0.5, 1)]
+    frame = spark.createDataFrame(rows, "frame string, class_index int, confidence double, rows long").withColumns({"least": F.lit(0.0), "greatest": F.lit(1.0)})
+    found = {r["frame"]: r["problem"] for r in admission.observation_problems(frame, 5, "rows").collect()}
+    assert found == {"a": None, "b": "row_count", "c": "row_count", "d": "class_twice", "e": None}
+    assert {r["frame"]: r["problem"] for r in admission.observation_problems(frame, 5).collect()}["b"] is None
+
+
 def test_near_images_vote_for_each_other(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(0, 1, (40, 16))
