@@ -583,6 +583,47 @@ def test_stopping_early_keeps_the_answer():
     assert 0 < work.scored < 0.9 * work.postings
 
 
+def skewed_vectors(n):
+    """Vectors of a few strong components, with norms over two orders of magnitude."""
+    rng = np.random.default_rng(12)
+    return (rng.normal(0, 1, (n, 32)) * 0.5 ** np.arange(32) * np.exp(rng.normal(0, 1.5, (n, 1)))).astype(np.float32)
+
+
+def test_skewed_vectors_leave_most_postings_unscored():
+    block = np.floor(64 * skewed_vectors(3000).astype(np.float64)).astype(np.int64)
+    ids, work = np.arange(3000), impact_search.Work()
+    for (found, scores), i in zip(impact_search.search_block(block[:200], ids[:200], block, ids, 20, work), range(200)):
+        s = block @ block[i]
+        want = sorted((j for j in range(3000) if j != i), key=lambda j: (-s[j], j))[:20]
+        assert found.tolist() == want and scores.tolist() == s[want].tolist()
+    assert 0 < work.scored < 0.5 * work.postings
+
+
+def test_floors_rule_rows_out_before_scoring():
+    block = np.array([[3, 4], [6, 8], [1, 0]])
+    work = impact_search.Work()
+    searched = lambda floor: [f.tolist() for f, _ in impact_search.search_block(np.array([[2, 0]]), np.array([9]), block, np.arange(3), 2, work, floors=np.array([floor]))]
+    assert searched(-np.inf) == [[1, 0]]
+    before = work.scored
+    assert searched(1e6) == [[]] and work.scored == before
+    assert searched(12.0)[0][0] == 1
+
+
+def test_impact_search_over_bands_and_stored_blocks(spark, monkeypatch):
+    monkeypatch.setattr(impact_search, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(impact_search, "QUERY_ROWS", 8)
+    built = []
+    rows = [(i, v.tolist()) for i, v in enumerate(skewed_vectors(600))] + [(700 + i, [0.0] * 32) for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    kept = impact_search.storage.materialise
+    monkeypatch.setattr(impact_search.storage, "materialise", lambda df, name, **o: built.append((name, kept(df, name, **o))) or built[-1][1])
+    got = sorted(map(tuple, impact_search.top_k(frame, F.col("vec_id") % 20 == 0).collect()))
+    assert got == brute_search([(i, tuple(math.floor(64 * float(np.float32(x))) for x in v)) for i, v in rows])
+    index = dict(built)["impact-index"]
+    assert index.groupBy("dim", "band", "part", "place").count().where("count > 1").count() == 0
+    assert index.agg(F.sum(F.size("ids"))).first()[0] == len(rows)
+
+
 def test_sharding(spark, odd, empty):
     table = sharding.lookup_table(sharding.SHARDS)
     counts = np.bincount(table)
