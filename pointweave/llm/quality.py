@@ -46,7 +46,6 @@ PRIOR_NGRAMS = 6
 MEMO_WORDS = 100_000
 #: Bytes of text whose n-grams are held at once.
 SLICE_BYTES = 1 << 20
-LONGEST_SHAPE = 16
 #: Counts that a round of the exact k-th search may bring to the driver.
 RADIX = 4096
 
@@ -69,7 +68,7 @@ _KINDS = _Kinds()
 
 def shape(word: str) -> str:
     """Letters, digits and marks of a word, with runs of one kind as one sign."""
-    return RUNS.sub(lambda m: m[1] or m[2] or m[3] or m[4], word.translate(_KINDS))[:LONGEST_SHAPE]
+    return RUNS.sub(lambda m: m[1] or m[2] or m[3] or m[4], word.translate(_KINDS))
 
 
 class _Words(dict):

@@ -589,6 +589,11 @@ def skewed_vectors(n):
     return (rng.normal(0, 1, (n, 32)) * 0.5 ** np.arange(32) * np.exp(rng.normal(0, 1.5, (n, 1)))).astype(np.float32)
 
 
+def test_shapes_are_of_whole_words():
+    assert quality.shape("Spark4Data") == "Aa0Aa"
+    assert quality.shape("a-1." * 10 + "Z") != quality.shape("a-1." * 10 + "9")
+
+
 def test_skewed_vectors_leave_most_postings_unscored():
     block = np.floor(64 * skewed_vectors(3000).astype(np.float64)).astype(np.int64)
     ids, work = np.arange(3000), impact_search.Work()
