@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import settled
 from .graph import connected_components
 from .skew import meet, pair_cells
 
@@ -76,31 +77,91 @@ def mutual_best(candidates: DataFrame, margin: float = MatchRules.ambiguity_marg
     return candidates.join(forward, ["a", "b"], "left_semi").join(backward, ["a", "b"], "left_semi")
 
 
-def constrained_groups(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge links in descending score, ties by ascending (a, b), unless the two groups share a frame.
+def constrained_groups(nodes: DataFrame, links: DataFrame, most_links: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Merge links in descending score, ties by ascending (a, b), unless the two groups are in conflict.
 
-    ``nodes`` (key, frame) and ``links`` (a, b, score) give (key, group) with the
-    least key of each group as its name, and (a, b, score, accepted).  The order
-    decides, so it is kept; but only within an unconstrained component, and those
-    are independent and run side by side.
+    Two explicit ids are a conflict (``two_ids``); so is a shared frame (``same_view``)
+    unless both groups carry the same explicit id.  ``nodes`` (key, frame and, if
+    given, object_id) and ``links`` (a, b, score) give (key, group) with the least
+    key of each group as its name, and (a, b, score, accepted, reason).
+
+    The outcome is that of the whole order, found in rounds: a link that comes first
+    among all links of both its groups is decided whatever the others bring, and a
+    conflict that no merge can lift is refused at once.  A component with
+    ``most_links`` open links or fewer is finished by one task.  Scores that fall
+    along a chain let one link a round through at its end; a component beyond the
+    limit then takes as many rounds as the chain is long.
+
+    A null frame or id meets no other; a null or NaN score comes last; a link to
+    itself is accepted; links with a null end or of unknown keys are left out.
     """
-    comps = connected_components(links.select("a", "b"), "a", "b")
-    edges = links.join(comps.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "score")
-    frames = nodes.select(F.col("key"), F.col("frame").cast("string").alias("frame"))
-    for side in "ab":
-        edges = edges.join(frames.select(F.col("key").alias(side), F.col("frame").alias(f"frame_{side}")), side)
-    kind = nodes.schema["key"].dataType.simpleString()
-    merged = edges.groupBy("component").applyInPandas(_merge_links, f"a {kind}, b {kind}, score double, accepted boolean, joins boolean")
-    kept = connected_components(merged.where("accepted").select("a", "b"), "a", "b")
-    named = kept.select(F.col("node").alias("key"), F.col("component").alias("group"))
-    groups = nodes.select("key").join(named, "key", "left").select("key", F.coalesce("group", "key").alias("group"))
-    return groups, merged.drop("joins")
+    named = "object_id" in nodes.columns
+    ids = F.col("object_id") if named else F.lit(None)
+    sets = nodes.where("key IS NOT NULL").groupBy(F.col("key").alias("name"))
+    sets = settled(sets.agg(F.collect_set(F.col("frame").cast("string")).alias("views"), F.collect_set(ids.cast("string")).alias("ids")))
+    known = links.select("a", "b", F.col("score").cast("double").alias("score"))
+    for end in "ab":
+        known = known.join(sets.select(F.col("name").alias(end)), end, "left_semi")
+    components = connected_components(known, "a", "b")
+    live = settled(known.join(components.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "score", F.col("a").alias("g"), F.col("b").alias("h")))
+    log = None
+    while True:
+        large = live.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most_links).select("component")
+        finished = _finished(live.join(large, "component", "left_anti"), sets)
+        log = finished if log is None else log.unionByName(finished)
+        left = live.join(large, "component", "left_semi")
+        if left.isEmpty():
+            break
+        judged = settled(_judged(left, sets, named))
+        log = log.unionByName(judged.where("verdict IS NOT NULL").select("a", "b", "score", (F.col("verdict") == "").alias("accepted"), F.nullif("verdict", F.lit("")).alias("reason")))
+        moves = judged.where("verdict = '' AND g <> h").select(F.greatest("g", "h").alias("old"), F.least("g", "h").alias("new")).distinct()
+        live = judged.where("verdict IS NULL").drop("verdict")
+        for side in "gh":
+            live = live.join(moves.select(F.col("old").alias(side), F.col("new").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+        live = settled(live)
+        renamed = sets.join(moves, sets["name"] == moves["old"], "left").select(F.coalesce("new", "name").alias("name"), "views", "ids")
+        sets = settled(renamed.groupBy("name").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("views", "ids")]))
+    log = settled(log)
+    kept = connected_components(log.where("accepted").select("a", "b"), "a", "b")
+    names = kept.select(F.col("node").alias("key"), F.col("component").alias("group"))
+    groups = nodes.select("key").join(names, "key", "left").select("key", F.coalesce("group", "key").alias("group"))
+    return groups, log
+
+
+def _with_sets(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links with the views and ids of their two groups."""
+    for side in "gh":
+        links = links.join(sets.select(F.col("name").alias(side), F.col("views").alias(f"views_{side}"), F.col("ids").alias(f"ids_{side}")), side)
+    return links
+
+
+def _judged(links: DataFrame, sets: DataFrame, named: bool) -> DataFrame:
+    """Links with their verdict: empty if accepted, the reason of a refusal, or null while others must come first."""
+    absent = F.col("score").isNull() | F.isnan("score")
+    order = F.struct(absent.alias("absent"), F.when(absent, 0.0).otherwise(0.0 - F.col("score")).alias("down"), "a", "b")
+    placed = _with_sets(links, sets).withColumn("place", order)
+    first = links.withColumn("place", order).select(F.explode(F.array("g", "h")).alias("name"), "place").groupBy("name").agg(F.min("place").alias("first"))
+    for side in "gh":
+        placed = placed.join(first.select(F.col("name").alias(side), F.col("first").alias(f"first_{side}")), side)
+    ids = F.size(F.array_union("ids_g", "ids_h"))
+    same = F.arrays_overlap("ids_g", "ids_h")
+    clash = F.arrays_overlap("views_g", "views_h") & ~same
+    turn = (F.col("place") == F.col("first_g")) & (F.col("place") == F.col("first_h"))
+    verdict = F.when(F.col("g") == F.col("h"), "").when(ids > 1, "two_ids").when(clash & (turn | F.lit(not named)), "same_view").when(turn, "")
+    return placed.select(*links.columns, verdict.alias("verdict"))
+
+
+def _finished(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, score, accepted, reason) of components whose open links fit a task."""
+    kind = live.schema["a"].dataType.simpleString()
+    return _with_sets(live, sets).groupBy("component").applyInPandas(_merge_links, f"a {kind}, b {kind}, score double, accepted boolean, reason string")
 
 
 def _merge_links(links: pd.DataFrame) -> pd.DataFrame:
     links = links.sort_values(["score", "a", "b"], ascending=[False, True, True], kind="stable")
     root: dict = {}
-    frames: dict = {}
+    views: dict = {}
+    ids: dict = {}
 
     def find(x):
         while root[x] != x:
@@ -108,19 +169,24 @@ def _merge_links(links: pd.DataFrame) -> pd.DataFrame:
             x = root[x]
         return x
 
-    accepted, joins = [], []
+    reasons = []
     for row in links.itertuples():
-        for key, frame in ((row.a, row.frame_a), (row.b, row.frame_b)):
-            if key not in root:
-                root[key], frames[key] = key, {frame}
-        p, q = find(row.a), find(row.b)
-        free = p == q or not frames[p] & frames[q]
-        if p != q and free:
-            root[q] = p
-            frames[p] |= frames.pop(q)
-        accepted.append(free)
-        joins.append(free and p != q)
-    return links[["a", "b", "score"]].assign(accepted=accepted, joins=joins)
+        for name, seen, given in ((row.g, row.views_g, row.ids_g), (row.h, row.views_h, row.ids_h)):
+            if name not in root:
+                root[name], views[name], ids[name] = name, set(seen), set(given)
+        p, q = find(row.g), find(row.h)
+        reason = None
+        if p != q:
+            if len(ids[p] | ids[q]) > 1:
+                reason = "two_ids"
+            elif views[p] & views[q] and not ids[p] & ids[q]:
+                reason = "same_view"
+            else:
+                root[q] = p
+                views[p] |= views.pop(q)
+                ids[p] |= ids.pop(q)
+        reasons.append(reason)
+    return links[["a", "b", "score"]].assign(accepted=[r is None for r in reasons], reason=pd.Series(reasons, index=links.index, dtype=object))
 
 
 def leave_one_out(members: DataFrame, support: DataFrame, visible: DataFrame) -> DataFrame:
