@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..operators import admission as a
 from ..operators import ordering, relations, retrieval, validation
 from ..operators import reviews as v
-from ..sources import packages
+from ..sources import evidence, packages
 from .common import collector, table
 
 QUERIES, query = collector()
@@ -528,3 +528,17 @@ def mask_upload(spark, sf):
     order = F.create_map(*[F.lit(x) for i, n in enumerate(validation.mask_rules()) for x in (n, i)])
     found = validation.broken(rows, validation.mask_rules(), "mask").groupBy("mask").agg(F.min_by("rule", order[F.col("rule")]).alias("rule"))
     return found
+
+
+@query("""
+WITH i AS (SELECT vec_id AS name, 640 + vec_id % 300 AS width, 480 + vec_id % 700 AS height, CASE WHEN label > 2 THEN label * 9.0 END AS f35 FROM embeddings),
+k AS (SELECT *, CASE WHEN f35 IS NULL THEN 0.9 * greatest(width, height) ELSE f35 * sqrt(width * width + height * height) / sqrt(1872) END AS focal FROM i)
+SELECT name AS image_name, CASE WHEN name % 9 = 0 THEN 'user_calibrated' WHEN f35 IS NULL THEN 'heuristic' ELSE 'exif_35mm_approximate' END AS intrinsics_source,
+round(CASE WHEN name % 9 = 0 THEN 500 ELSE focal END, 6)::DOUBLE AS fx, round(CASE WHEN name % 9 = 0 THEN 1 ELSE width / 2 END, 6)::DOUBLE AS cx, round(CASE WHEN name % 9 = 0 THEN 2 ELSE height / 2 END, 6)::DOUBLE AS cy FROM k""")
+def camera_templates(spark, sf):
+    i = F.col("vec_id")
+    rows = table(spark, sf, "embeddings").select(i.alias("name"), (640 + i % 300).alias("width"), (480 + i % 700).alias("height"), F.when(F.col("label") > 2, F.col("label") * 9.0).alias("focal_35mm"), F.lit("").alias("source_sha256"))
+    row = lambda *x: F.array(*map(F.lit, x))
+    known = rows.where("name % 9 = 0").select("name", F.array(row(500.0, 0.0, 1.0), row(0.0, 500.0, 2.0), row(0.0, 0.0, 1.0)).alias("K"))
+    out = evidence.camera_template(evidence.with_intrinsics(rows), known)
+    return out.select("image_name", "intrinsics_source", *[F.round(F.col("K")[y][x], 6).alias(n) for n, y, x in (("fx", 0, 0), ("cx", 0, 2), ("cy", 1, 2))])

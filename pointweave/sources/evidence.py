@@ -11,12 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import focal_from_35mm
 from .files import staged_output
 
 #: Parameters of the camera models of a binary reconstruction.
 CAMERA_PARAMETERS = {0: 3, 1: 4, 2: 4, 3: 5, 4: 8, 5: 8, 6: 12, 7: 5, 8: 4, 9: 5, 10: 12}
 FEWEST_PHOTOS, MOST_PHOTOS = 2, 300
 MOST_PHOTO_BYTES, MOST_TOTAL_BYTES = 30_000_000, 1_500_000_000
+#: Numbers of tags, and the layout of the tag types that hold a number.
+ORIENTATION, FOCAL_35MM, NESTED = 274, 41989, 34665
+TAG_TYPES = {1: "B", 3: "H", 4: "I", 5: "II", 8: "h", 9: "i", 10: "ii"}
+HEURISTIC_FOCAL = 0.9
 
 
 def mask_pixels(files: DataFrame, value: float | None = None, threshold: float = 0.0) -> DataFrame:
@@ -142,6 +147,116 @@ def photo_inventory(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def _segments(raw: bytes) -> tuple[int | None, int | None, bytes]:
+    """(width, height, tag directories) of a JPEG or PNG file; sizes are null where the format is another or the file is cut."""
+    width, height, tags = None, None, b""
+    try:
+        if raw.startswith(b"\x89PNG\r\n\x1a\n"):
+            at = 8
+            while at + 8 <= len(raw):
+                (length,), kind = struct.unpack_from(">I", raw, at), raw[at + 4 : at + 8]
+                if kind == b"IHDR":
+                    width, height = struct.unpack_from(">II", raw, at + 8)
+                elif kind == b"eXIf":
+                    tags = raw[at + 8 : at + 8 + length]
+                at += length + 12
+        elif raw.startswith(b"\xff\xd8"):
+            at = 2
+            while at + 4 <= len(raw) and raw[at] == 0xFF:
+                marker = raw[at + 1]
+                if marker == 0xFF or 0xD0 <= marker <= 0xD8 or marker == 1:
+                    at += 1 if marker == 0xFF else 2
+                    continue
+                if marker in (0xD9, 0xDA):
+                    break
+                (length,) = struct.unpack_from(">H", raw, at + 2)
+                if marker == 0xE1 and raw[at + 4 : at + 10] == b"Exif\0\0" and not tags:
+                    tags = raw[at + 10 : at + 2 + length]
+                elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                    height, width = struct.unpack_from(">HH", raw, at + 5)
+                at += 2 + length
+    except struct.error:
+        pass
+    return width, height, tags
+
+
+def _tag_values(tags: bytes, nested: bool) -> dict[int, float]:
+    """Orientation and focal length of the main directory, and with ``nested`` of the photo's own below it; no other tag is kept."""
+    found: dict[int, float] = {}
+    end = {b"II*\0": "<", b"MM\0*": ">"}.get(tags[:4])
+    if end is None or len(tags) < 8:
+        return found
+    places = [struct.unpack_from(f"{end}I", tags, 4)[0]]
+    for depth in range(2):
+        try:
+            at = places[depth]
+            (n,) = struct.unpack_from(f"{end}H", tags, at)
+            for entry in range(at + 2, at + 2 + 12 * n, 12):
+                tag, kind, count = struct.unpack_from(f"{end}HHI", tags, entry)
+                if tag not in (ORIENTATION, FOCAL_35MM, NESTED) or kind not in TAG_TYPES or count != 1:
+                    continue
+                form = end + TAG_TYPES[kind]
+                place = entry + 8 if struct.calcsize(form) <= 4 else struct.unpack_from(f"{end}I", tags, entry + 8)[0]
+                value = struct.unpack_from(form, tags, place)
+                if tag == NESTED:
+                    places += [value[0]] * (nested and depth == 0)
+                elif len(value) == 1 or value[1]:
+                    found.setdefault(tag, value[0] / (value[1] if len(value) == 2 else 1))
+        except (struct.error, IndexError):
+            break
+    return found
+
+
+def photo_metadata(photos: DataFrame, nested: bool = False) -> DataFrame:
+    """(name, source_sha256, source_width, source_height, orientation, width, height, focal_35mm, intrinsics_source, fx, fy, cx, cy) of photos (name, content).
+
+    Sizes are those of the file and of the upright image.  A 35 mm focal length of
+    1 to 2000 gives the intrinsics approximately; without one they are a guess.  It
+    is looked for in the main directory, with ``nested`` also in the one below.
+    Positions and all other tags never leave the task.  A null content, a cut
+    file or another format has null sizes and intrinsics; a broken directory no tags.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, digest, content in zip(pdf["name"], pdf["source_sha256"], pdf["content"]):
+                width, height, tags = _segments(content or b"")
+                values = _tag_values(tags, nested)
+                rows.append((name, digest, width, height, values.get(ORIENTATION), values.get(FOCAL_35MM)))
+            out = pd.DataFrame(rows, columns=["name", "source_sha256", "source_width", "source_height", "orientation", "focal_35mm"])
+            yield out.astype({"source_width": "Int64", "source_height": "Int64", "orientation": "float64", "focal_35mm": "float64"})
+
+    hashed = photos.select(F.col("name").cast("string").alias("name"), F.sha2("content", 256).alias("source_sha256"), "content")
+    raw = hashed.mapInPandas(read, "name string, source_sha256 string, source_width bigint, source_height bigint, orientation double, focal_35mm double")
+    turn = F.when(F.col("orientation").isin(*range(1, 9)), F.col("orientation")).otherwise(1).cast("int")
+    focal = F.when(F.col("focal_35mm").between(1, 2000), F.col("focal_35mm"))
+    known = raw.select("name", "source_sha256", "source_width", "source_height", turn.alias("orientation"), focal.alias("focal_35mm"))
+    turned = F.col("orientation") >= 5
+    sized = known.withColumns({"width": F.when(turned, F.col("source_height")).otherwise(F.col("source_width")), "height": F.when(turned, F.col("source_width")).otherwise(F.col("source_height"))})
+    return with_intrinsics(sized)
+
+
+def with_intrinsics(images: DataFrame) -> DataFrame:
+    """Images (width, height, focal_35mm) with their source and fx, fy, cx, cy; a null focal length makes 0.9 of the longer side the focal length."""
+    w, h, f = F.col("width").cast("double"), F.col("height").cast("double"), F.col("focal_35mm")
+    pixels = F.when(f.isNotNull(), focal_from_35mm(f, w, h)).otherwise(HEURISTIC_FOCAL * F.greatest(w, h))
+    source = F.when(f.isNotNull(), "exif_35mm_approximate").otherwise("heuristic")
+    return images.withColumns({"intrinsics_source": source, "fx": pixels, "fy": pixels, "cx": w / 2, "cy": h / 2})
+
+
+def camera_template(images: DataFrame, calibrated: DataFrame | None = None) -> DataFrame:
+    """(image_name, width, height, source_sha256, intrinsics_source, K) to be filled in and imported: a calibration (name, K) where there is one, else the photo's own intrinsics."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    own = F.array(F.array("fx", zero, "cx"), F.array(zero, "fy", "cy"), F.array(zero, zero, one))
+    given = F.lit(None).cast("array<array<double>>")
+    if calibrated is not None:
+        images = images.join(calibrated.select("name", F.col("K").alias("__K")), "name", "left")
+        given = F.col("__K")
+    source = F.when(given.isNotNull(), "user_calibrated").otherwise(F.col("intrinsics_source"))
+    return images.select(F.col("name").alias("image_name"), "width", "height", "source_sha256", source.alias("intrinsics_source"), F.coalesce(given, own).alias("K"))
+
+
 def photo_limits(photos: DataFrame) -> DataFrame:
     """(photos, distinct, bytes, problem): the first limit that an inventory breaks."""
     sums = photos.agg(F.count("*").alias("photos"), F.count_distinct("sha256").alias("distinct"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.max("bytes"), F.lit(0)).alias("largest"))
