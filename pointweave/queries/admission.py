@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..operators import admission as a
 from ..operators import ordering, relations, retrieval, validation
 from ..operators import reviews as v
-from ..sources import evidence, packages
+from ..sources import evidence, ledger, packages
 from .common import collector, table
 
 QUERIES, query = collector()
@@ -542,3 +542,21 @@ def camera_templates(spark, sf):
     known = rows.where("name % 9 = 0").select("name", F.array(row(500.0, 0.0, 1.0), row(0.0, 500.0, 2.0), row(0.0, 0.0, 1.0)).alias("K"))
     out = evidence.camera_template(evidence.with_intrinsics(rows), known)
     return out.select("image_name", "intrinsics_source", *[F.round(F.col("K")[y][x], 6).alias(n) for n, y, x in (("fx", 0, 0), ("cx", 0, 2), ("cy", 1, 2))])
+
+
+@query("""
+WITH i AS (SELECT source AS project, 'd' || (doc_id - (doc_id % 17 = 16)::INT) AS name, sha256(text) AS sha256, doc_id FROM documents),
+s AS (SELECT source AS project, 'd' || doc_id AS name, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS have, doc_id % 13 = 0 AS resized FROM documents WHERE doc_id % 11 <> 0),
+c AS (SELECT *, count(*) OVER (PARTITION BY project, name) AS times FROM i),
+p AS (SELECT DISTINCT c.project, c.name, CASE WHEN times > 1 THEN 'repeated' WHEN s.name IS NULL THEN 'missing' WHEN NOT coalesce(have = sha256, false) THEN 'changed' WHEN resized THEN 'size' END AS problem FROM c LEFT JOIN s ON s.project = c.project AND s.name = c.name)
+SELECT project, name, problem FROM p WHERE problem IS NOT NULL
+UNION ALL SELECT project, NULL, 'count' FROM i GROUP BY project HAVING count(*) NOT BETWEEN 2 AND 300""")
+def project_reload(spark, sf):
+    """Sources as projects: some of their documents came back changed, resized or not at all, and some names are given twice."""
+    i = F.col("doc_id")
+    d = table(spark, sf, "documents").select(F.col("source").alias("project"), "doc_id", "text")
+    name = lambda n: F.concat(F.lit("d"), n.cast("string")).alias("name")
+    images = d.select("project", name(i - (i % 17 == 16).cast("int")), F.sha2("text", 256).alias("sha256"), F.lit(4).alias("width"), F.lit(3).alias("height"))
+    text = F.when(i % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    stored = d.where(i % 11 != 0).select("project", name(i), F.sha2(text, 256).alias("sha256"), F.when(i % 13 == 0, 5).otherwise(4).alias("width"), F.lit(3).alias("height"))
+    return ledger.reload_problems(images, stored)
