@@ -17,6 +17,45 @@ def rigid_inverse(rotation: Sequence[Column], translation: Sequence[Column]) ->
     return turned, moved
 
 
+def affine_inverse(matrix: Column) -> Column:
+    """The inverse of sixteen entries, row by row, whose last row is 0, 0, 0, 1; null for others, singular ones and non-finite entries."""
+    m = lambda i, j: F.get(matrix, F.lit(4 * i + j)).cast("double")
+    minor = lambda i, j: m((i + 1) % 3, (j + 1) % 3) * m((i + 2) % 3, (j + 2) % 3) - m((i + 1) % 3, (j + 2) % 3) * m((i + 2) % 3, (j + 1) % 3)
+    det = m(0, 0) * minor(0, 0) + m(0, 1) * minor(0, 1) + m(0, 2) * minor(0, 2)
+    linear = [[minor(j, i) / F.nullif(det, F.lit(0.0)) for j in range(3)] for i in range(3)]
+    moved = [-(linear[i][0] * m(0, 3) + linear[i][1] * m(1, 3) + linear[i][2] * m(2, 3)) for i in range(3)]
+    rows = [x for i in range(3) for x in (*linear[i], moved[i])]
+    affine = (m(3, 0) == 0) & (m(3, 1) == 0) & (m(3, 2) == 0) & (m(3, 3) == 1) & _finite(matrix, 16)
+    return F.when(affine & F.coalesce(det != 0, F.lit(False)), F.array(*rows, *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]))
+
+
+def _finite(values: Column, n: int) -> Column:
+    """Whether an array has ``n`` entries, all finite; false for null."""
+    return F.coalesce((F.size(values) == n) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) != float("inf"))), F.lit(False))
+
+
+def camera_form(cameras: DataFrame) -> DataFrame:
+    """Cameras in any of their forms with ``matrix`` (world to camera, sixteen entries), ``focal`` and ``centre`` ([x, y]) and ``problem``.
+
+    The pose is the first of world_to_camera, camera_to_world (sixteen entries) and R
+    with t (nine and three) that is not null; the intrinsics are K (nine entries) or
+    else fx, fy (null: fx), cx and cy.  Columns that are not there count as null.
+    ``problem`` is ``pose`` or ``intrinsics`` where these are absent, non-finite, not
+    invertible or, for focal lengths, not positive.
+    """
+    have = lambda c, kind: F.col(c) if c in cameras.columns else F.lit(None).cast(kind)
+    direct, back, turn, move, k = (have(c, "array<double>") for c in ("world_to_camera", "camera_to_world", "R", "t", "K"))
+    given = lambda a, n: F.when(_finite(a, n), a.cast("array<double>"))
+    entry = lambda a, i: F.get(a, F.lit(i)).cast("double")
+    built = F.array(*[x for i in range(3) for x in (*[entry(turn, 3 * i + j) for j in range(3)], entry(move, i))], *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])
+    pose = F.when(direct.isNotNull(), given(direct, 16)).when(back.isNotNull(), affine_inverse(back)).when(_finite(turn, 9) & _finite(move, 3), built)
+    fx, fy, cx, cy = (have(c, "double").cast("double") for c in ("fx", "fy", "cx", "cy"))
+    inner = F.when(k.isNotNull(), F.when(_finite(k, 9), F.array(*[entry(k, i) for i in (0, 4, 2, 5)]))).otherwise(F.array(fx, F.coalesce(fy, fx), cx, cy))
+    valid = _finite(inner, 4) & (F.get(inner, F.lit(0)) > 0) & (F.get(inner, F.lit(1)) > 0)
+    problem = F.when(pose.isNull(), "pose").when(~F.coalesce(valid, F.lit(False)), "intrinsics")
+    return cameras.withColumns({"matrix": pose, "focal": F.slice(inner, 1, 2), "centre": F.slice(inner, 3, 2), "problem": problem})
+
+
 def is_rigid(rotation: Column, tolerance: float = 1e-4) -> Column:
     """Whether nine entries are a rotation: rows of length one, at right angles, right-handed."""
     row = lambda i: F.slice(rotation, 3 * i + 1, 3)

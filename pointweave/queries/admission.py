@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from ..functions import text as t
 from ..operators import admission as a
-from ..operators import ordering, relations, retrieval, validation
+from ..operators import cameras, ordering, relations, retrieval, validation
 from ..operators import reviews as v
 from ..sources import evidence, ledger, packages
 from .common import collector, table
@@ -560,3 +560,30 @@ def project_reload(spark, sf):
     text = F.when(i % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
     stored = d.where(i % 11 != 0).select("project", name(i), F.sha2(text, 256).alias("sha256"), F.when(i % 13 == 0, 5).otherwise(4).alias("width"), F.lit(3).alias("height"))
     return ledger.reload_problems(images, stored)
+
+
+@query("""
+WITH v AS (SELECT vec_id, embedding[1]::DOUBLE + 2 AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, embedding[4]::DOUBLE AS d, embedding[5]::DOUBLE + 2 AS e, embedding[6]::DOUBLE AS f, embedding[7]::DOUBLE AS g, embedding[8]::DOUBLE AS h, embedding[9]::DOUBLE + 2 AS i, embedding[10]::DOUBLE AS x, embedding[11]::DOUBLE AS y, embedding[12]::DOUBLE AS z FROM embeddings),
+w AS (SELECT *, a * (e * i - f * h) + b * (f * g - d * i) + c * (d * h - e * g) AS det, vec_id % 4 AS form FROM v)
+SELECT vec_id, CASE WHEN form = 3 THEN 'pose' WHEN vec_id % 10 = 9 THEN 'intrinsics' END AS problem,
+round(CASE form WHEN 0 THEN (e * i - f * h) / det WHEN 3 THEN NULL ELSE a END, 6) AS first,
+round(CASE form WHEN 0 THEN -((f * g - d * i) / det * x + (a * i - c * g) / det * y + (c * d - a * f) / det * z) WHEN 3 THEN NULL ELSE y END, 6) AS second_move,
+CASE WHEN vec_id % 10 = 9 THEN -1 WHEN vec_id % 2 = 0 THEN 7 ELSE 5 END::DOUBLE AS fy, CASE WHEN vec_id % 2 = 0 THEN 4 ELSE 3 END::DOUBLE AS cx FROM w""")
+def camera_forms(spark, sf):
+    i = F.col("vec_id")
+    at = lambda n, plus=0: F.get("embedding", F.lit(n)).cast("double") + float(plus)
+    turn = [at(n, 2 * (n % 4 == 0)) for n in range(9)]
+    whole = F.array(*turn[:3], at(9), *turn[3:6], at(10), *turn[6:], at(11), *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id",
+        F.when(i % 4 == 0, whole).alias("camera_to_world"),
+        F.when(i % 4 == 1, whole).alias("world_to_camera"),
+        F.when(i % 4 == 2, F.array(*turn)).alias("R"),
+        F.array(at(9), at(10), at(11)).alias("t"),
+        F.when(i % 2 == 0, F.array(*[F.lit(float(x)) for x in (6, 0, 4, 0, 7, 2, 0, 0, 1)])).alias("K"),
+        F.when(i % 10 == 9, -1.0).otherwise(5.0).alias("fx"),
+        F.lit(3.0).alias("cx"),
+        F.lit(2.0).alias("cy"),
+    )
+    out = cameras.camera_form(rows)
+    return out.select("vec_id", "problem", F.round(F.col("matrix")[0], 6).alias("first"), F.round(F.col("matrix")[7], 6).alias("second_move"), F.col("focal")[1].alias("fy"), F.col("centre")[0].alias("cx"))
