@@ -56,6 +56,26 @@ def quaternion_matrix(q: Column) -> Column:
     return F.array(1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y))
 
 
+def matrix_quaternion(rotation: Column) -> Column:
+    """The unit quaternion (w, x, y, z) of nine entries of a rotation, row by row, with its first component that is not zero above zero; null entries give null.
+
+    Four times the products of its greatest component with all four are sums of
+    entries; the greatest is found first, so that none is divided by a small number.
+    """
+    m = lambda i, j: F.get(rotation, F.lit(3 * i + j)).cast("double")
+    a, b, c = m(2, 1) - m(1, 2), m(0, 2) - m(2, 0), m(1, 0) - m(0, 1)
+    d, e, f = m(0, 1) + m(1, 0), m(0, 2) + m(2, 0), m(1, 2) + m(2, 1)
+    squares = [1 + m(0, 0) + m(1, 1) + m(2, 2), 1 + m(0, 0) - m(1, 1) - m(2, 2), 1 - m(0, 0) + m(1, 1) - m(2, 2), 1 - m(0, 0) - m(1, 1) + m(2, 2)]
+    products = [F.array(squares[0], a, b, c), F.array(a, squares[1], d, e), F.array(b, d, squares[2], f), F.array(c, e, f, squares[3])]
+    greatest = F.greatest(*squares)
+    row = products[3]
+    for i in (2, 1, 0):
+        row = F.when(squares[i] == greatest, products[i]).otherwise(row)
+    leading = F.get(F.filter(row, lambda x: x != 0), F.lit(0))
+    complete = (F.size(rotation) == 9) & ~F.exists(rotation, lambda x: x.isNull())
+    return F.when(complete, F.transform(row, lambda x: x / norm(row) * F.sign(leading)))
+
+
 def sh_basis(x: Column, y: Column, z: Column, degree: int) -> list[Column]:
     """The real spherical harmonics of a unit direction up to ``degree``, 3 at most."""
     basis: list[Column] = [F.lit(SH_0)]

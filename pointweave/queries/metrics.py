@@ -197,6 +197,15 @@ def quaternion_matrix(spark, sf):
     return matrix.select("vec_id", *[(F.round(F.get("r", F.lit(i)), 5) + 0.0).alias(n) for i, n in ((0, "r00"), (1, "r01"), (7, "r21"))])
 
 
+@query("""
+WITH q AS (SELECT vec_id, embedding[1]::DOUBLE AS w, embedding[2]::DOUBLE AS x, embedding[3]::DOUBLE AS y, embedding[4]::DOUBLE AS z FROM embeddings)
+SELECT vec_id, round(abs(w) / l, 5) AS qw, round(sign(w) * x / l, 5) + 0.0 AS qx, round(sign(w) * y / l, 5) + 0.0 AS qy, round(sign(w) * z / l, 5) + 0.0 AS qz FROM (SELECT *, sqrt(w*w + x*x + y*y + z*z) AS l FROM q)""")
+def rotation_quaternion(spark, sf):
+    q = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    back = table(spark, sf, "embeddings").select("vec_id", numeric.quaternion_matrix(q).alias("r")).select("vec_id", numeric.matrix_quaternion(F.col("r")).alias("q"))
+    return back.select("vec_id", *[(F.round(F.get("q", F.lit(i)), 5) + 0.0).alias(n) for i, n in enumerate(("qw", "qx", "qy", "qz"))])
+
+
 HARMONICS = """
 WITH d AS (SELECT vec_id, embedding, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), u AS (SELECT *, a / l AS x, b / l AS y, c / l AS z FROM (SELECT *, sqrt(a*a + b*b + c*c) AS l FROM d))
 SELECT vec_id, round(greatest(0, 0.5 + 0.28209479177387814 * embedding[11]::DOUBLE - 0.4886025119029199 * y * embedding[12]::DOUBLE + 0.4886025119029199 * z * embedding[13]::DOUBLE - 0.4886025119029199 * x * embedding[14]::DOUBLE), 5) + 0.0 AS red FROM u"""

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pointweave.functions import numeric
 from pointweave.operators import cameras
 
 SCHEMA = "name string, world_to_camera array<double>, camera_to_world array<double>, R array<double>, t array<double>, K array<double>, fx double, fy double, cx double, cy double"
@@ -39,3 +41,18 @@ def test_forms_agree_with_numpy(spark):
 
 def test_missing_columns_are_problems_not_errors(spark):
     assert [r["problem"] for r in cameras.camera_form(spark.createDataFrame([("a",)], "name string")).collect()] == ["pose"]
+
+
+def test_quaternions_of_half_turns_and_others(spark):
+    """Half turns, where w is zero, and random rotations come back; the first component that is not zero is positive."""
+    rng = random.Random(9)
+    given = [(1.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 1.0), (0.0, 0.6, -0.8, 0.0), (1e-5, 0.0, 0.0, 1.0)]
+    given += [tuple(rng.gauss(0, 1) for _ in range(4)) for _ in range(40)]
+    rows = spark.createDataFrame([(i, list(q)) for i, q in enumerate(given)], "i long, q array<double>")
+    got = {r["i"]: r["p"] for r in rows.select("i", numeric.quaternion_matrix(F.col("q")).alias("r")).select("i", numeric.matrix_quaternion(F.col("r")).alias("p")).collect()}
+    for i, q in enumerate(given):
+        first = next(x for x in q if x)
+        want = np.array(q) / np.linalg.norm(q) * np.sign(first)
+        assert got[i] == pytest.approx(want.tolist(), abs=1e-9)
+    odd = spark.createDataFrame([([1.0, None] + [0.0] * 7,), (None,), ([1.0],)], "r array<double>")
+    assert [r[0] for r in odd.select(numeric.matrix_quaternion(F.col("r"))).collect()] == [None] * 3
