@@ -85,3 +85,26 @@ def test_hulls_are_exact(spark):
         assert got[g] == pytest.approx(exact_area(own), rel=1e-9, abs=1e-12), g
     few = {(r["g"], r["u"], r["v"]) for r in reviews.hull_corners(frame, "g", at_once=30).collect()}
     assert few == {(r["g"], r["u"], r["v"]) for r in reviews.hull_corners(frame, "g").collect()}
+
+
+def test_many_small_hulls_are_found_together(spark, monkeypatch):
+    """Groups of a few points, as orders have: no call of Python a group, in either size of a task's hold; large ones go through sweeps and walks."""
+    rng = random.Random(5)
+    small = [(g, float(rng.randrange(1, 6)), round(rng.uniform(1, 9), 2)) for g in range(6000) for _ in range(rng.randrange(1, 8))]
+    curve = [(-1, float(x), float(x * x)) for x in range(400)] + [(-1, 399.5, -9e5)] + [(-2, 0.1 * i, 0.3 * i) for i in range(60)] + [(None, 1e-200 * i, 1e-200 * i * i) for i in range(9)]
+    frame = spark.createDataFrame(small + curve, "g long, u double, v double").repartition(5)
+    calls = []
+    monkeypatch.setattr(type(frame.groupBy("g")), "applyInPandas", lambda *a, **k: calls.append(a))
+    want = {}
+    for g, u, v in small + curve:
+        want.setdefault(g, []).append((u, v))
+    for at_once in (1, 100_000):
+        got = {r["g"]: r["area"] for r in reviews.hull_area(frame, "g", at_once).collect()}
+        assert set(got) == set(want) and not calls
+        for g in [-1, -2, None, *range(0, 6000, 7)]:
+            assert got[g] == pytest.approx(exact_area(want[g]), rel=1e-9, abs=1e-12), g
+    corners = {}
+    for r in reviews.hull_corners(frame, "g", 50).collect():
+        corners.setdefault(r["g"], []).append((r["u"], r["v"]))
+    for g in [-1, -2, None, *range(0, 6000, 11)]:
+        assert sorted(corners[g]) == sorted(reviews.convex_hull(want[g]))
