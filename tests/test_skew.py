@@ -49,6 +49,43 @@ def test_operators_agree_whatever_the_blocks(spark, monkeypatch):
     assert found() == want
 
 
+def test_masks_that_share_much_are_compared_in_blocks(spark, monkeypatch):
+    """Labels whose masks share many points make no row a pair and point; those that share few still meet at points."""
+    rng = random.Random(12)
+    names = [f"m{i:03}" for i in range(90)]
+    held = {m: rng.sample(range(40), rng.randrange(1, 20)) if i % 2 else rng.sample(range(100 * (i % 30), 100 * (i % 30) + 30), 7) for i, m in enumerate(names[:88])}
+    meta = {m: (i % 5 if i % 11 else None, "l" if i % 7 else None, f"x{i % 2}" if i % 13 else None, f"o{i % 3}" if i % 4 == 0 else None) for i, m in enumerate(names)}
+    want = []
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            (fa, la, xa, oa), (fb, lb, xb, ob) = meta[a], meta[b]
+            shared = len(set(held.get(a, ())) & set(held.get(b, ())))
+            score = shared / max(1, min(len(held.get(a, ())), len(held.get(b, ()))))
+            if la is None or la != lb:
+                continue
+            if oa is not None and oa == ob:
+                want.append((a, b, shared, 2.0))
+            elif not (oa and ob) and None not in (fa, fb) and fa != fb and xa is not None and xa == xb and shared >= 2 and score >= 0.3:
+                want.append((a, b, shared, score))
+    supports = spark.createDataFrame([(m, p) for m, own in held.items() for p in own], "mask string, point long")
+    masks = spark.createDataFrame([(m, *meta[m]) for m in names], "mask string, frame long, level string, label string, object_id string")
+    met, cells = [], association.pair_cells
+    monkeypatch.setattr(association, "pair_cells", lambda rows, by: met.append(rows) or cells(rows, by))
+    for block in (2_000, 7):
+        monkeypatch.setattr(association, "BLOCK_MASKS", block, raising=False)
+        assert sorted(map(tuple, association.mask_links(supports, masks, 0.3, 2).collect())) == want
+        assert {r["label"] for rows in met for r in rows.select("label").distinct().collect()} == {"x0"}
+
+
+def test_shared_points_are_counted_whatever_their_number():
+    rng = random.Random(4)
+    held = [sorted(rng.sample(range(3000), rng.randrange(40)) + rng.sample(range(3000, 3009), 5)) for _ in range(70)] + [[], []]
+    row, point = association.np.array([(i, p) for i, own in enumerate(held) for p in own]).T
+    for left, right in ((range(0, 40), range(40, 72)), (range(72), range(72)), (range(70, 72), range(3))):
+        want = [[len(set(held[i]) & set(held[j])) for j in right] for i in left]
+        assert association.shared_points(row, point, association.np.array(left), association.np.array(right)).tolist() == want
+
+
 def exact_area(points):
     """Twice the hull's area by gift wrapping in fractions."""
     pts = sorted({(Fraction(x), Fraction(y)) for x, y in points})
