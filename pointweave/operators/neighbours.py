@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ EXACT_ROWS, SAMPLE_ROWS, MOST_CELLS = 10_000, 20_000, 512
 #: Sampled queries that measure how many cells are needed, the share of neighbours wanted, and rows of a cell compared at once.
 MEASURED, WANTED, BLOCK_ROWS = 400, 0.95, 4_096
 ROUNDS, SEED = 8, 7
+#: Queries whose distances to a block are held at once.
+QUERIES_AT_ONCE = 256
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,47 +81,99 @@ def _assign(cells: Cells | None, probes: int, name: str):
     return run
 
 
+def ordered(keys: pa.ChunkedArray) -> np.ndarray:
+    """Places of keys in ascending order, null first; a struct by its fields."""
+    keys = keys.combine_chunks()
+    fields = keys.flatten() if pa.types.is_struct(keys.type) else [keys]
+    table = pa.Table.from_arrays(fields, [str(i) for i in range(len(fields))])
+    return pc.sort_indices(table, sort_keys=[(c, "ascending") for c in table.column_names], null_placement="at_start").to_numpy()
+
+
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), -1)
+
+
+def closest(asked: np.ndarray, held: np.ndarray, k: int, root: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d): the ``k`` rows of ``held`` closest to each of ``asked``, in order, ties to the earlier row.
+
+    d is the sum of squares, or its ``root``, added in the order of the components.
+    Products only choose: whatever their rounding may hide is added up, and so are
+    rows that are not finite, whose distance comes last. Equal rows are compared once.
+    """
+    bits = np.ascontiguousarray(held).view(np.dtype((np.void, held.shape[1] * 8))).ravel()
+    _, first, name, times = np.unique(bits, return_index=True, return_inverse=True, return_counts=True)
+    members, begin, once = np.argsort(name, kind="stable"), np.cumsum(times) - times, held[first]
+    with np.errstate(all="ignore"):
+        na, nb = (asked**2).sum(1), (once**2).sum(1)
+    odd_a, odd_b = ~(na < 1e300), ~(nb < 1e300)
+    a, b = np.where(odd_a[:, None], 0, asked), np.where(odd_b[:, None], 0, once).T
+    na, nb = np.where(odd_a, 0, na), np.where(odd_b, 0, nb)
+    slack = 2e-15 * (held.shape[1] + 8) * (na + nb.max())
+    found, columns = [], (np.ascontiguousarray(asked.T), np.ascontiguousarray(once.T))
+    for at in range(0, len(asked), QUERIES_AT_ONCE):
+        own = slice(at, at + QUERIES_AT_ONCE)
+        near = na[own, None] + nb - 2 * (a[own] @ b)
+        near[:, odd_b] = np.inf
+        kth = min(k, len(once)) - 1
+        able = near <= (np.partition(near, kth, axis=1)[:, kth] + slack[own])[:, None]
+        able[:, odd_b] = True
+        able[odd_a[own]] = True
+        i, j = np.nonzero(able)
+        i += at
+        d = np.zeros(len(i))
+        with np.errstate(all="ignore"):
+            for x, y in zip(*columns):
+                apart = x[i] - y[j]
+                d += apart * apart
+        copies = np.minimum(times[j], k)
+        step = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        i, d, j = np.repeat(i, copies), np.repeat(np.sqrt(d) if root else d, copies), members[np.repeat(begin[j], copies) + step]
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[kept], j[kept], d[kept]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def k_nearest(queries: DataFrame, stored: DataFrame, k: int, cells: Cells | None, vector: str = "vector") -> DataFrame:
     """(query, near, d): each query's k nearest stored rows with their squared distances, ties to the lesser ``near``.
 
     ``queries`` has query and ``vector``, ``stored`` has near and ``vector``; both
     keys may be of any type that orders.  Vectors must be whole and of one length;
     rows of a null vector are left out.  With ``cells`` a query looks into its
-    nearest cells alone; without, all rows are one cell.  A cell is dealt into
-    blocks of at most some BLOCK_ROWS, so none is large.
+    nearest cells alone; without, all rows are one cell.  Rows and queries of a
+    cell are dealt into blocks of some BLOCK_ROWS, and each pair of blocks is compared
+    by itself, so no task holds much.
     """
 
-    def assigned(rows: DataFrame, probes: int) -> DataFrame:
+    def assigned(rows: DataFrame, name: str, probes: int) -> DataFrame:
+        rows = rows.where(F.col(vector).isNotNull()).select(name, F.col(vector).cast("array<double>").alias("vector"))
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return rows.mapInArrow(_assign(cells, probes, "vector"), f"{kinds}, cells array<int>")
-
-    held = assigned(stored.where(F.col(vector).isNotNull()).select("near", F.col(vector).cast("array<double>").alias("vector")), 1)
-    held = written(held.select("near", "vector", F.get("cells", F.lit(0)).alias("cell")), "neighbour-cells")
-    blocks = held.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    dealt = held.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("vector", "near"), F.col("blocks")).alias("block"), "near", "vector")
-    asked = assigned(queries.where(F.col(vector).isNotNull()).select("query", F.col(vector).cast("array<double>").alias("vector")), cells.probes if cells else 1)
-    asked = asked.select("query", "vector", F.explode("cells").alias("cell")).join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        return rows.mapInArrow(_assign(cells, probes, "vector"), f"{kinds}, cells array<int>").select(name, "vector", F.explode("cells").alias("cell"))
+
+    def dealt(rows: DataFrame, name: str, blocks: DataFrame) -> DataFrame:
+        return rows.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("vector", name), F.col("blocks")).alias("block"), name, "vector")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+
+    def met(rows: DataFrame, others: DataFrame, mine: str, theirs: str) -> DataFrame:
+        return rows.withColumnRenamed("block", mine).join(others, "cell").withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+
+    held = written(assigned(stored, "near", 1), "neighbour-cells")
+    asked = written(assigned(queries, "query", cells.probes if cells else 1), "neighbour-queries")
+    there, here = counted(held), counted(asked)
+    left, right = met(dealt(asked, "query", here), there, "part", "block"), met(dealt(held, "near", there), here, "block", "part")
     kinds = f"query {queries.schema['query'].dataType.simpleString()}, near {stored.schema['near'].dataType.simpleString()}, d double"
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        near, query = right.column("near").combine_chunks(), left.column("query").combine_chunks()
-        matrix = lambda t: np.asarray(t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(t), -1)
-        out_q, out_n, out_d = [], [], []
+        i = j = np.zeros(0, np.int64)
+        d = np.zeros(0)
         if len(left) and len(right):
-            theirs, rank = matrix(right), np.argsort(np.argsort(pa.compute.array_sort_indices(near).to_numpy()))
-            theirs, rank = matrix(right), np.empty(len(near), np.int64)
-            keys = [tuple(x.values()) if isinstance(x, dict) else x for x in near.to_pylist()]
-            rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
-            for i, row in enumerate(matrix(left)):
-                d = ((theirs - row) ** 2).sum(1)
-                best = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                best = best[np.lexsort((rank[best], d[best]))][:k]
-                out_q.append(np.full(len(best), i))
-                out_n.append(best)
-                out_d.append(d[best])
-        at = [np.concatenate(x) if x else np.zeros(0, int) for x in (out_q, out_n, out_d)]
-        return pa.table({"query": query.take(pa.array(at[0], pa.int64())), "near": near.take(pa.array(at[1], pa.int64())), "d": pa.array(at[2], pa.float64())})
-
-    found = asked.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInArrow(search, kinds)
+            right = right.take(pa.array(ordered(right.column("near"))))
+            i, j, d = closest(matrix(left.column("vector")), matrix(right.column("vector")), k)
+        return pa.table({"query": left.column("query").take(pa.array(i)), "near": right.column("near").take(pa.array(j)), "d": pa.array(d)})
+
+    found = left.groupBy("cell", "block", "part").cogroup(right.groupBy("cell", "block", "part")).applyInArrow(search, kinds)
     order = Window.partitionBy("query").orderBy("d", "near")
     return found.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")

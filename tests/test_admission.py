@@ -78,6 +78,39 @@ def test_blocks_and_odd_vectors_of_the_index(spark, monkeypatch):
     assert neighbours.k_nearest(stored.limit(0).withColumnRenamed("near", "query"), stored, 3, None).count() == 0
 
 
+def test_votes_of_images_are_exact_beyond_ten_thousand(spark):
+    """12,000 descriptors: the image of each query's own votes, against all pairs; an index finds some of them only."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id", "label", "embedding")
+    moved = e.crossJoin(spark.range(6).withColumnRenamed("id", "k"))
+    frame = moved.selectExpr("(label + 10 * (vec_id % 4)) AS image", "vec_id + 2000 * k AS place", "transform(embedding, (x, i) -> x + k * sin(vec_id * 7 + i) / 9) AS vector")
+    rows = sorted((r["image"], r["place"], r["vector"]) for r in frame.collect())
+    matrix = np.array([r[2] for r in rows], np.float64)
+    images = {}
+    for at, r in enumerate(rows):
+        images.setdefault(r[0], []).append(at)
+    want = set()
+    for image, own in images.items():
+        votes = {}
+        for at in {own[k * (len(own) - 1) // 4] for k in range(5)}:
+            for near in {rows[j][0] for j in np.argsort(((matrix - matrix[at]) ** 2).sum(1), kind="stable")[:12]} - {image}:
+                votes[near] = votes.get(near, 0) + 1
+        want |= {(min(image, near), max(image, near)) for near in sorted(votes, key=lambda n: (-votes[n], n))[:3]}
+    assert len(rows) == 12_000 and {tuple(r) for r in retrieval.retrieval_pairs(frame, queries=5, most=3).collect()} == want
+
+
+def test_closest_rows_whatever_they_hold():
+    rng = np.random.default_rng(2)
+    held = np.concatenate([rng.integers(0, 3, (300, 4)) + 1e6, np.full((40, 4), 7.0), [[np.inf] * 4, [1e200] * 4, [np.nan] * 4]])
+    asked = np.concatenate([held[::9], rng.normal(1e6, 1, (20, 4)), held[-3:]])
+    for k, root in ((2, True), (12, False), (500, False)):
+        i, j, d = neighbours.closest(asked, held, k, root)
+        with np.errstate(all="ignore"):
+            apart = np.cumsum((asked[:, None] - held[None]) ** 2, axis=2)[:, :, -1]
+        for q, row in enumerate(np.sqrt(apart) if root else apart):
+            want = np.lexsort((np.arange(len(held)), row))[:k]
+            assert j[i == q].tolist() == want.tolist() and np.array_equal(d[i == q], row[want], equal_nan=True)
+
+
 def test_triangulation_of_a_turned_camera(spark):
     rng = random.Random(4)
     angle = 0.3
