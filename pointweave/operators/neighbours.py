@@ -18,7 +18,7 @@ EXACT_ROWS, SAMPLE_ROWS, MOST_CELLS = 10_000, 20_000, 512
 MEASURED, WANTED, BLOCK_ROWS = 400, 0.95, 4_096
 ROUNDS, SEED = 8, 7
 #: Queries whose distances to a block are held at once.
-QUERIES_AT_ONCE = 256
+QUERIES_AT_ONCE = 128
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,6 +93,21 @@ def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), -1)
 
 
+def _kth(near: np.ndarray, k: int) -> np.ndarray:
+    """Each row's value of place ``k`` (from 0) in ascending order; few places are found by minima, which are set aside and put back."""
+    if k > 3:
+        return np.partition(near, k, axis=1)[:, k]
+    rows, aside = np.arange(len(near)), []
+    for _ in range(k):
+        at = near.argmin(1)
+        aside.append((at, near[rows, at]))
+        near[rows, at] = np.inf
+    found = near.min(1)
+    for at, value in aside[::-1]:
+        near[rows, at] = value
+    return found
+
+
 def closest(asked: np.ndarray, held: np.ndarray, k: int, root: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, d): the ``k`` rows of ``held`` closest to each of ``asked``, in order, ties to the earlier row.
 
@@ -106,19 +121,23 @@ def closest(asked: np.ndarray, held: np.ndarray, k: int, root: bool = False) ->
     with np.errstate(all="ignore"):
         na, nb = (asked**2).sum(1), (once**2).sum(1)
     odd_a, odd_b = ~(na < 1e300), ~(nb < 1e300)
-    a, b = np.where(odd_a[:, None], 0, asked), np.where(odd_b[:, None], 0, once).T
     na, nb = np.where(odd_a, 0, na), np.where(odd_b, 0, nb)
+    # A query's own square is the same for all rows: products of (a, 1) and (-2 b, b * b) rank them.
+    a = np.column_stack([np.where(odd_a[:, None], 0, asked), np.ones(len(asked))])
+    b = np.vstack([np.where(odd_b[:, None], 0, -2 * once).T, nb])
     slack = 2e-15 * (held.shape[1] + 8) * (na + nb.max())
-    found, columns = [], (np.ascontiguousarray(asked.T), np.ascontiguousarray(once.T))
+    found, columns, any_odd = [], (np.ascontiguousarray(asked.T), np.ascontiguousarray(once.T)), (odd_a.any(), odd_b.any())
     for at in range(0, len(asked), QUERIES_AT_ONCE):
         own = slice(at, at + QUERIES_AT_ONCE)
-        near = na[own, None] + nb - 2 * (a[own] @ b)
-        near[:, odd_b] = np.inf
-        kth = min(k, len(once)) - 1
-        able = near <= (np.partition(near, kth, axis=1)[:, kth] + slack[own])[:, None]
-        able[:, odd_b] = True
-        able[odd_a[own]] = True
-        i, j = np.nonzero(able)
+        near = a[own] @ b
+        if any_odd[1]:
+            near[:, odd_b] = np.inf
+        able = near <= (_kth(near, min(k, len(once)) - 1) + slack[own])[:, None]
+        if any_odd[1]:
+            able[:, odd_b] = True
+        if any_odd[0]:
+            able[odd_a[own]] = True
+        i, j = np.divmod(np.flatnonzero(able), len(once))
         i += at
         d = np.zeros(len(i))
         with np.errstate(all="ignore"):

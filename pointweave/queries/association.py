@@ -204,10 +204,8 @@ SELECT f.q AS a, f.t AS b FROM good f JOIN good g ON f.q = g.t AND f.t = g.q WHE
 
 @query(KNN)
 def ratio_test_matches(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    pairs = e.alias("q").join(e.alias("t"), (F.col("q.label") == F.col("t.label")) & (F.col("q.vec_id") % 2 != F.col("t.vec_id") % 2))
-    far = F.sqrt(retrieval.squared_distance(F.col("q.embedding"), F.col("t.embedding")))
-    return retrieval.ratio_matches(pairs.select((F.col("q.vec_id") % 2).alias("side"), F.col("q.vec_id").alias("q"), F.col("t.vec_id").alias("t"), far.alias("d")), 0.95)
+    e = table(spark, sf, "embeddings").select("label", (F.col("vec_id") % 2).alias("side"), F.col("vec_id").alias("name"), F.col("embedding").alias("vector"))
+    return retrieval.ratio_matches(retrieval.nearest_across(e, "label"), 0.95)
 
 
 @query("""

@@ -98,6 +98,25 @@ def test_votes_of_images_are_exact_beyond_ten_thousand(spark):
     assert len(rows) == 12_000 and {tuple(r) for r in retrieval.retrieval_pairs(frame, queries=5, most=3).collect()} == want
 
 
+def test_ratio_matches_need_no_table_of_all_pairs(spark, monkeypatch):
+    """The nearest two of each block give the matches of all pairs, and a descriptor brings two rows a block, not one a pair."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(0, 1, (150, 6))
+    vectors = np.concatenate([base, base + rng.normal(0, 0.2, base.shape), base[:20], base[:20]]).round(2)
+    rows = [(int(i % 3) if i % 50 else None, int(i // 150 % 2), int(i), v.tolist()) for i, v in enumerate(vectors)] + [(1, 0, 900, None), (7, 0, 901, [0.0] * 6)]
+    frame = spark.createDataFrame(rows, "label int, side int, name long, vector array<float>")
+    a, b = frame.alias("a"), frame.alias("b")
+    far = F.sqrt(retrieval.squared_distance(F.col("a.vector"), F.col("b.vector")))
+    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.side") != F.col("b.side")) & far.isNotNull())
+    want = sorted(map(tuple, retrieval.ratio_matches(pairs.select("a.side", F.col("a.name").alias("q"), F.col("b.name").alias("t"), far.alias("d")), 0.9).collect()))
+    assert len(want) > 30
+    for block in (4_096, 17):
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", block)
+        near = retrieval.nearest_across(frame, "label")
+        assert sorted(map(tuple, retrieval.ratio_matches(near, 0.9).collect())) == want
+        assert near.count() <= 2 * len(rows) * (1 if block > 1000 else 12)
+
+
 def test_closest_rows_whatever_they_hold():
     rng = np.random.default_rng(2)
     held = np.concatenate([rng.integers(0, 3, (300, 4)) + 1e6, np.full((40, 4), 7.0), [[np.inf] * 4, [1e200] * 4, [np.nan] * 4]])
