@@ -19,7 +19,7 @@ difference of two prefix sums of a polynomial, moved to the power zero.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -206,8 +206,15 @@ def _across(left: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return celled.join(held, "set").groupBy("band", "low", "high").applyInArrow(_linked, "a bigint, b bigint")
 
 
-def _components(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of every set that has a similar one."""
+def _shared_sets(described: DataFrame, named: DataFrame) -> DataFrame:
+    """Links (a, b) from the least set of each component of ``named`` (id, component_id) to its others; ids are rows of ``described``."""
+    own = described.join(named.select(F.col("id").alias("row"), "component_id"), "row").select("set", "component_id").distinct()
+    first = own.groupBy("component_id").agg(F.min("set").alias("a"), F.max("set").alias("high")).where("a < high").select("component_id", "a")
+    return storage.materialise(own.join(first, "component_id").where("set <> a").select("a", F.col("set").alias("b")), "given-links")
+
+
+def _components(sets: DataFrame, texts: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """(node, root) of every set that has a similar one, or one it is linked with by ``given`` (a, b)."""
     postings = sets.select("set", "size", F.explode("bands").alias("band"))
     counted = postings.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = storage.materialise(postings.join(counted, "band"), "shared-bands")
@@ -217,6 +224,8 @@ def _components(sets: DataFrame, texts: DataFrame) -> DataFrame:
     led = storage.materialise(shared.join(leaders, "band").where("set <> leader").select("band", "set", "size", "leader", "leader_size"), "led-bands")
     pairs = led.where(_fit("size", "leader_size")).select(F.least("leader", "set").alias("a"), F.greatest("leader", "set").alias("b")).distinct()
     found = _similar(pairs, sets, texts)
+    if given is not None:
+        found = found.unionByName(given)
     roots = connected_components(found)
     named = storage.materialise(led.join(roots, led["set"] == roots["node"], "left").select("band", "set", "size", F.coalesce("root", "set").alias("root")), "named-bands")
     mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
@@ -225,9 +234,12 @@ def _components(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return connected_components(found.unionByName(more))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row of each group of near copies: that of the least id, a null one last, then of the least hash of its text.
 
+    ``linked`` takes a table (row, text) and gives (id, component_id) of each row;
+    groups then hold together what either that or similarity links, directly or on the way.
+
     Cases: null, empty and blank texts are one group; a text of fewer words than a
     run is the set of its one whole run; rows are told apart by their place, so
     null and repeated ids keep unlike texts apart; all columns stay, whatever
@@ -239,6 +251,6 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order = rows.select("row", F.struct(F.col(f"given.{id_col}").isNull().alias("unnamed"), F.col(f"given.{id_col}").alias("id"), F.xxhash64(f"given.{text_col}").alias("hash"), "row").alias("best"))
     sets = described.join(order, "row").groupBy("set").agg(F.min("best").alias("best"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     sets = storage.materialise(sets, "distinct-sets")
-    roots = _components(sets, texts)
+    roots = _components(sets, texts, linked and _shared_sets(described, linked(texts)))
     best = sets.join(roots, sets["set"] == roots["node"], "left").groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("best").alias("best"))
     return rows.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select("given.*")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from pointweave.llm import near_text
+from pointweave.llm import near_text, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -110,3 +110,23 @@ def test_unlike_rows_of_one_id_stay(spark):
     kept = near_text.keep_representatives(docs(spark, rows).withColumnRenamed("n_chars", "size").withColumnRenamed("lang", "set"))
     assert sorted(r["text"] for r in kept.collect()) == sorted({t for _, t in rows}) and kept.columns == ["doc_id", "text", "set", "source", "size"]
     assert near_text.keep_representatives(docs(spark, [])).count() == 0
+
+
+def test_pipeline_stage_links_by_fingerprints_too(spark):
+    """Texts of one repeated line and other ends: fingerprints link them, sets of five words do not; groups hold across both kinds of links."""
+    rng = random.Random(23)
+    line = " ".join(f"w{i}" for i in range(11))
+    ends = [" ".join(f"e{k}x{i}" for i in range(10)) for k in range(4)]
+    texts = [f"{line} " * 300 + e for e in ends]
+    texts.append(f"{line} " * 2 + ends[0])  # the first text's set, whatever its fingerprint
+    texts += [" ".join(f"u{rng.getrandbits(30)}" for _ in range(60)) for _ in range(5)] + [None, ""]
+    names, prints = brute_groups(texts), [simhash.fingerprint(t) for t in texts]
+    apart = len(set(names))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= simhash.DISTANCE:
+                low, high = sorted((names[i], names[j]))
+                names = [low if n == high else n for n in names]
+    assert len(set(names[:4])) == 1 and len(set(names)) < apart
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, enumerate(texts)), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(names))
